@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionlode.llm import bpe, ngram_join
+from sessionlode.llm import bpe, line_dedup, ngram_join
 
 
 def tokenizer_path() -> str:
@@ -29,10 +29,15 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link(table(spark, sf_dir, "documents"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_bpe_round_trip": op3_bpe_round_trip,
         "op5_ngram_join": op5_ngram_join,
+        "op8_line_dedup": op8_line_dedup,
     }
 
 
