@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionlode.llm import bpe, line_dedup, ngram_join, quality_rules
+from sessionlode.llm import bpe, line_dedup, mixing, ngram_join, quality_rules
 
 
 def tokenizer_path() -> str:
@@ -37,12 +37,17 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.schedule(table(spark, sf_dir, "documents").select("doc_id", "source"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_quality_rules": op2_quality_rules,
         "op3_bpe_round_trip": op3_bpe_round_trip,
         "op5_ngram_join": op5_ngram_join,
         "op8_line_dedup": op8_line_dedup,
+        "op10_mixing": op10_mixing,
     }
 
 
