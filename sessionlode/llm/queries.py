@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionlode.llm import bpe, line_dedup, mixing, ngram_join, quality_rules
+from sessionlode.llm import bpe, line_dedup, mixing, ngram_join, pii, quality_rules
 
 
 def tokenizer_path() -> str:
@@ -33,6 +33,10 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link(table(spark, sf_dir, "documents"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(table(spark, sf_dir, "documents")).drop("found")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_quality_rules": op2_quality_rules,
         "op3_bpe_round_trip": op3_bpe_round_trip,
         "op5_ngram_join": op5_ngram_join,
+        "op7_pii": op7_pii,
         "op8_line_dedup": op8_line_dedup,
         "op10_mixing": op10_mixing,
     }
