@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionlode.llm import bpe, line_dedup, mixing, ngram_join, pii, quality_rules
+from sessionlode.llm import bpe, language_id, line_dedup, mixing, ngram_join, pii, quality_rules
 
 
 def tokenizer_path() -> str:
@@ -41,6 +41,10 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents")).drop("languages")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.schedule(table(spark, sf_dir, "documents").select("doc_id", "source"))
 
@@ -52,6 +56,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_ngram_join": op5_ngram_join,
         "op7_pii": op7_pii,
         "op8_line_dedup": op8_line_dedup,
+        "op9_language_id": op9_language_id,
         "op10_mixing": op10_mixing,
     }
 
