@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,19 +22,19 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     return moved.where("u > v").distinct()
 
 
-def components(scratch: Scratch, edges: DataFrame, name: str) -> DataFrame:
+def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (columns u, v, of one integer type); component is the least node reached.
 
     Loops, repeated edges and edges with a null end are ignored; no edges give no rows. Each step shuffles the edges once
     on a node, after map-side minima; the steps are about logarithmic in the length of the longest chain.
     """
-    now = scratch.table(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), f"{name}-0")
-    state, step = None, 0
+    new = lambda df: scratch.table(df, f"edges-{uuid.uuid4().hex}")
+    now = new(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    state = None
     while True:
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if tuple(mark) == state or not mark[0]:
             break
-        state, step = tuple(mark), step + 1
-        now = scratch.table(_stars(_stars(now, True), False), f"{name}-{step}")
-        scratch.drop(f"{name}-{step - 1}")
+        state = tuple(mark)
+        now = new(_stars(_stars(now, True), False))
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

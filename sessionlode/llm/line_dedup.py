@@ -273,7 +273,7 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     groups = max(2 * spark.sparkContext.defaultParallelism, int(counts.sum()) * (den - num) // den // ENTRIES_A_LIST_GROUP)
     share = spark.sparkContext.broadcast
     indexed = rows.mapInArrow(_index(share(counts), groups, num, den), "pid int, kind string, block binary")
-    found = scratch.table(indexed.groupBy("pid").applyInArrow(_lists(num, den), _found), "found")
+    found = scratch.table(indexed.groupBy("pid").applyInArrow(_lists(num, den), _found), "found", wide=True)
 
     gone = found.where("kind = 'gone'").select("doc", "line")
     near = found.where("kind = 'near'").join(gone, ["doc", "line"], "left_anti")
@@ -285,7 +285,7 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         .select("doc", "line", (-F.col("top.d")).alias("to_doc"), (-F.col("top.l")).alias("to_line"), "more"),
         "best",
     )
-    arrays = scratch.table(rows.mapInArrow(_arrays(share(Bloom.of(named, keys))), "doc long, line int, words binary").dropDuplicates(["doc", "line"]), "arrays")
+    arrays = scratch.hold(rows.mapInArrow(_arrays(share(Bloom.of(named, keys))), "doc long, line int, words binary").dropDuplicates(["doc", "line"]))
     matched = scratch.table(_verify(best.drop("more"), arrays, num, den), "matched")
 
     left = best.where("more").join(matched, ["doc", "line"], "left_anti").select("doc", "line", F.col("to_doc").alias("tried_doc"), F.col("to_line").alias("tried_line"))
@@ -295,8 +295,10 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     others = scratch.table(others, "others")
     extra = Bloom.of(others.select(F.inline(F.array(F.struct("doc", "line"), F.struct(F.col("to_doc").alias("doc"), F.col("to_line").alias("line"))))), keys)
     more_arrays = rows.mapInArrow(_arrays(share(extra)), "doc long, line int, words binary").dropDuplicates(["doc", "line"])
-    late = scratch.table(_verify(others, more_arrays, num, den), "late")
-    return gone.unionByName(matched).unionByName(late).distinct().select(F.col("doc").alias("doc_id"), "line")
+    late = _verify(others, more_arrays, num, den)
+    result = scratch.table(gone.unionByName(matched).unionByName(late).distinct().select(F.col("doc").alias("doc_id"), "line"), "lines")
+    scratch.release()
+    return result
 
 
 def _strip(batches):

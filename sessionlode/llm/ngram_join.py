@@ -30,6 +30,7 @@ from sessionlode.llm.sketches import Bloom, frequencies, slot
 
 NUM, DEN = 9, 10
 ENTRIES_A_LIST_GROUP = 400_000
+SEEN_SETS = 300_000
 
 
 def _sets(batch: pa.RecordBatch, at: int, width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -64,30 +65,35 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int
     groups = max(2 * spark.sparkContext.defaultParallelism, int(counts.sum()) * (den - num) // den // ENTRIES_A_LIST_GROUP)
     shared = spark.sparkContext.broadcast(counts)
 
-    signed = scratch.table(rows.mapInArrow(_index(shared, groups, width, num, den), "doc_id long, n long, d1 long, d2 long, pid int, block binary"), "signed")
-    sets = signed.where("pid is null").select("doc_id", "n", "d1", "d2")
-    entries = signed.where("pid is not null").select("pid", "block")
-    found = scratch.table(entries.groupBy("pid").applyInArrow(_open_lists(num, den), "pid int, key long, owner long, size int, place int, leader long"), "found")
-
-    least = sets.where("n > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    copies = scratch.table(sets.where("n > 0 and doc_id is not null").join(least, ["d1", "d2"]).where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).distinct(), "copies")
-
-    needed = Bloom.of(found.select("owner"), lambda b: H.to_unsigned(b.column(0).to_numpy()))
-    arrays = scratch.table(rows.where("doc_id is not null").mapInArrow(_arrays(spark.sparkContext.broadcast(needed), width), "id long, tokens binary").dropDuplicates(["id"]), "arrays")
-
-    starred = found.where("leader is not null").groupBy("owner", "leader").count()
-    first = starred.groupBy("owner").agg(F.max(F.struct("count", (-F.col("leader")).alias("l"))).alias("best")).select(F.col("owner").alias("a"), (-F.col("best.l")).alias("b"))
+    signed = scratch.table(rows.mapInArrow(_index(shared, width, num, den), "doc_id long, n long, d1 long, d2 long, prefix binary"), "signed", wide=True)
+    sets = signed.drop("prefix")
+    prefixes = signed.where("prefix is not null").select(F.col("doc_id").alias("id"), F.col("n").alias("size"), "prefix")
+    blocks = prefixes.mapInArrow(_blocks(shared, groups), "pid int, block binary")
+    found = scratch.table(blocks.groupBy("pid").applyInArrow(_open_lists(num, den), "pid int, key long, owner long, size int, place int, leader long"), "found", wide=True)
+
+    named = sets.where("n > 0 and doc_id is not null")
+    least = named.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
+    copies = scratch.table(named.join(least, ["d1", "d2"]).where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).distinct(), "copies")
+
+    starred = found.where("leader is not null").groupBy(F.col("owner").alias("a"), F.col("leader").alias("b")).agg(F.count("*").alias("votes"))
+    starred = _plausible(starred, prefixes, shared, num, den)
+    first = scratch.table(starred.groupBy("a").agg((-F.max(F.struct("votes", (-F.col("b")).alias("b")))["b"]).alias("b")), "first")
+    ids = lambda df: df.select(F.explode(F.array("a", "b")).alias("id"))
+    arrays = _fetch(rows, ids(first), width)
     compared = scratch.table(_compare(first, arrays, num, den), "compared")
     edges = copies.unionByName(compared.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v")))
-    classes = components(scratch, edges, "classes-1")
+    classes = components(scratch, edges)
 
-    for step, every in ((2, False), (3, True)):
-        open_pairs = scratch.table(_across(found, classes, every, num, den), f"across-{step}")
-        linked = scratch.table(_derive(open_pairs, compared, arrays, num, den), f"linked-{step}")
+    for every in (False, True):
+        open_pairs = scratch.table(_plausible(_across(found, classes, every, num, den), prefixes, shared, num, den), f"open-{every}")
+        near, rest = _derive(open_pairs, compared, num, den)
+        rest = scratch.table(rest, f"rest-{every}")
+        linked = near.unionByName(_compare(rest, _fetch(rows, ids(rest), width), num, den).where("linked").select(F.col("a").alias("u"), F.col("b").alias("v")))
         edges = classes.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(linked)
-        classes = components(scratch, edges, f"classes-{step}")
+        classes = components(scratch, edges)
 
-    return sets.join(classes.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    result = sets.join(classes.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    return result
 
 
 def _raw(batch: pa.RecordBatch, width: int):
@@ -96,50 +102,58 @@ def _raw(batch: pa.RecordBatch, width: int):
         yield row, shingles, bounds, None
 
 
-def _index(shared, groups: int, width: int, num: int, den: int):
+def _index(shared, width: int, num: int, den: int):
+    """A row per document: size and two fingerprints of its set, and the set's prefix in the global order.
+
+    Of documents with one set, each task gives a prefix for the first only.
+    """
+
     def run(batches):
         counts, seen = shared.value, set()
         for batch in batches:
-            ids, null = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False), batch.column(0).is_null().to_numpy(zero_copy_only=False)
+            ids, null = batch.column(0), batch.column(0).is_null().to_numpy(zero_copy_only=False)
             for row, _, values, bounds in _sets(batch, 1, width):
                 n = len(bounds) - 1
-                own, missing = ids[row : row + n], null[row : row + n]
                 once, twice = np.append(H.mix(values), np.uint64(0)), np.append(H.mix(values * H.STEP + np.uint64(1)), np.uint64(0))
                 full = np.diff(bounds) > 0
-                d1, d2 = np.where(full, np.add.reduceat(once, bounds[:-1]), 0), np.where(full, np.add.reduceat(twice, bounds[:-1]), 0)
-                tokens, owner, size, place = [], [], [], []
-                for i in np.flatnonzero(full & ~missing):
-                    if (key := int(d1[i])) in seen:
+                d1, d2 = (np.where(full, np.add.reduceat(x, bounds[:-1]), 0).astype(np.uint64) for x in (once, twice))
+                prefix: list[bytes | None] = [None] * n
+                for i in np.flatnonzero(full & ~null[row : row + n]):
+                    key = (int(d1[i]), int(d2[i]))
+                    if key in seen:
                         continue
-                    if len(seen) >= 1_000_000:
+                    if len(seen) >= SEEN_SETS:
                         seen.clear()
                     seen.add(key)
-                    p = _prefix(values[bounds[i] : bounds[i + 1]], counts, num, den)
-                    tokens.append(p)
-                    owner.append(np.full(len(p), own[i]))
-                    size.append(np.full(len(p), bounds[i + 1] - bounds[i]))
-                    place.append(np.arange(len(p)))
-                yield pa.RecordBatch.from_arrays([pa.array(own, mask=missing), pa.array(np.diff(bounds)), pa.array(H.to_signed(d1.astype(np.uint64))), pa.array(H.to_signed(d2.astype(np.uint64))), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=_index_names)
-                if tokens:
-                    yield from _blocks(np.concatenate(tokens), np.concatenate(owner), counts, groups, size=np.concatenate(size), place=np.concatenate(place))
+                    prefix[i] = _prefix(values[bounds[i] : bounds[i + 1]], counts, num, den).tobytes()
+                yield pa.RecordBatch.from_arrays([ids.slice(row, n), pa.array(np.diff(bounds)), pa.array(H.to_signed(d1)), pa.array(H.to_signed(d2)), pa.array(prefix, pa.binary())], names=["doc_id", "n", "d1", "d2", "prefix"])
 
     return run
 
 
-_index_names = ["doc_id", "n", "d1", "d2", "pid", "block"]
+def _blocks(shared, groups: int):
+    """The index entries of a batch of prefixes (id, size, prefix), packed by group of lists."""
 
+    def run(batches):
+        counts = shared.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            parts = [np.frombuffer(x, dtype=np.uint64) for x in batch.column(2).to_pylist()]
+            lengths = np.array([len(x) for x in parts])
+            tokens = np.concatenate(parts)
+            owner, size = np.repeat(batch.column(0).to_numpy(), lengths), np.repeat(batch.column(1).to_numpy(), lengths)
+            place = np.arange(len(tokens)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            keys, index = S.spread(tokens, owner, counts)
+            pid = (keys % np.uint64(groups)).astype(np.int32)
+            order = np.argsort(pid, kind="stable")
+            keys, index, pid = keys[order], index[order], pid[order]
+            starts = np.concatenate(([0], np.flatnonzero(np.diff(pid)) + 1))
+            ends = np.append(starts[1:], len(pid))
+            packed = [S.pack(key=(keys[s:e] // np.uint64(groups)) & np.uint64(0xFFFFFFFF), owner=owner[index[s:e]], size=size[index[s:e]], place=place[index[s:e]]) for s, e in zip(starts, ends, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(pid[starts]), pa.array(packed, pa.binary())], names=["pid", "block"])
 
-def _blocks(tokens, owner, counts, groups, **columns):
-    keys, index = S.spread(tokens, owner, counts)
-    pid = (keys % np.uint64(groups)).astype(np.int32)
-    order = np.argsort(pid, kind="stable")
-    keys, index, pid = keys[order], index[order], pid[order]
-    cuts = np.flatnonzero(np.diff(pid)) + 1
-    starts = np.concatenate(([0], cuts))
-    ends = np.append(cuts, len(pid))
-    blocks = [S.pack(key=keys[s:e], owner=owner[index[s:e]], **{k: v[index[s:e]] for k, v in columns.items()}) for s, e in zip(starts, ends, strict=True)]
-    m = len(blocks)
-    yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64())] * 4 + [pa.array(pid[starts]), pa.array(blocks, type=pa.binary())], names=_index_names)
+    return run
 
 
 def _sorted_lists(key, size, place):
@@ -174,6 +188,42 @@ def _open_lists(num: int, den: int):
     return run
 
 
+def _plausible(pairs: DataFrame, prefixes: DataFrame, shared, num: int, den: int) -> DataFrame:
+    """The pairs (a, b, ...) whose prefixes leave room for the threshold.
+
+    Up to the lesser of the two last prefix tokens both sets are fully known, so they share what their prefixes share there,
+    and beyond it at most what is left of the smaller one. Sets that share a rare token by chance end here, at the cost of
+    a tenth of a set.
+    """
+    rest = [c for c in pairs.columns if c not in ("a", "b")]
+    side = lambda x, y: prefixes.select(F.col("id").alias(x), F.col("size").alias(f"size_{x}"), F.col("prefix").alias(y)).dropDuplicates([x])
+    both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("x", "y", "size_a", "size_b", "a", "b", *rest)
+
+    def run(batches):
+        counts = shared.value
+        for batch in batches:
+            ok = []
+            for x, y, m, n in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+                end_x, end_y = (int(counts[slot(x[-1:])][0]), int(x[-1])), (int(counts[slot(y[-1:])][0]), int(y[-1]))
+                if end_x > end_y:
+                    x, y, m, n, end_x = y, x, n, m, end_y
+                load = counts[slot(y)]
+                y = y[(load < end_x[0]) | (load == end_x[0]) & (y <= np.uint64(end_x[1]))]
+                shared_now = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append((num + den) * (shared_now + min(m - len(x), n - len(y))) >= num * (m + n))
+            yield pa.RecordBatch.from_arrays(batch.columns[4:], names=batch.schema.names[4:]).filter(pa.array(ok, pa.bool_()))
+
+    fields = {f.name: f.dataType.simpleString() for f in pairs.schema.fields}
+    return both.mapInArrow(run, ", ".join(f"{c} {fields[c]}" for c in ("a", "b", *rest)))
+
+
+def _fetch(rows: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """(id, sorted set) of the documents in ``ids``, made from their texts again; a Bloom filter keeps the rest back."""
+    needed = rows.sparkSession.sparkContext.broadcast(Bloom.of(ids, lambda b: H.to_unsigned(b.column(0).to_numpy())))
+    return rows.where("doc_id is not null").mapInArrow(_arrays(needed, width), "id long, tokens binary").dropDuplicates(["id"])
+
+
 def _arrays(needed, width: int):
     def run(batches):
         for batch in batches:
@@ -255,8 +305,11 @@ def _compare(pairs: DataFrame, arrays: DataFrame, num: int, den: int) -> DataFra
     return both.mapInArrow(run, "a long, b long, size_a int, size_b int, apart binary, linked boolean")
 
 
-def _derive(pairs: DataFrame, compared: DataFrame, arrays: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (u, v) among ``pairs``. Sets that were compared with one leader are told apart by their differences to it."""
+def _derive(pairs: DataFrame, compared: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Links (u, v) among ``pairs`` whose sets were both compared with one leader: their differences to it tell them apart.
+
+    And the other pairs, which need their sets.
+    """
     known = compared.where("apart is not null").select(F.col("a").alias("id"), F.col("b").alias("leader"), F.col("size_a").alias("size"), "apart")
     side = lambda s: known.select(*[F.col(c).alias(f"{c}_{s}") for c in known.columns])
     looked = pairs.join(side("a"), F.col("a") == F.col("id_a"), "left").join(side("b"), F.col("b") == F.col("id_b"), "left")
@@ -269,5 +322,4 @@ def _derive(pairs: DataFrame, compared: DataFrame, arrays: DataFrame, num: int,
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
     near = looked.where(same).select("a", "b", "size_a", "size_b", "apart_a", "apart_b").mapInArrow(run, "u long, v long")
-    rest = _compare(looked.where(~same).select("a", "b"), arrays, num, den).where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    return near.unionByName(rest)
+    return near, looked.where(~same).select("a", "b")

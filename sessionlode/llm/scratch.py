@@ -1,4 +1,4 @@
-"""Tables that cut lineage, in the folder that all machines of the cluster share."""
+"""What a job keeps on its way: tables in the folder that all machines share, which cut lineage, and held results."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ import os
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -16,16 +17,31 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Parquet tables under one new folder of the shared directory. They go when the process ends, or at ``drop``."""
+    """Parquet tables under one new folder of the shared directory, and results held on the executors' disks.
+
+    Tables go when the process ends, or at ``drop``. Held results keep their lineage, so what a lost executor held is
+    computed again; they go at ``release``, once a table has what is needed of them.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        self.held: list[DataFrame] = []
         self.root = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
         atexit.register(self.close)
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
+    def hold(self, df: DataFrame) -> DataFrame:
+        self.held.append(df.persist(StorageLevel.DISK_ONLY))
+        return self.held[-1]
+
+    def release(self) -> None:
+        for df in self.held:
+            df.unpersist()
+        self.held.clear()
+
+    def table(self, df: DataFrame, name: str, wide: bool = False) -> DataFrame:
+        """Writes and reads again. A narrow table gets no more files than the cluster has cores, a wide one four times as many."""
         path = f"{self.root}/{name}"
-        df.write.parquet(path)
+        df.coalesce(max(1, self.spark.sparkContext.defaultParallelism) * (4 if wide else 1)).write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str = "") -> None:
