@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionlode.llm import bpe, language_id, line_dedup, mixing, ngram_join, pii, quality_rules
+from sessionlode.llm import bpe, language_id, line_dedup, mixing, ngram_join, pii, quality_rules, token_counts, top_k
 
 
 def tokenizer_path() -> str:
@@ -29,10 +29,18 @@ def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
 
 
+def op4_ball_tree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k.search(table(spark, sf_dir, "embeddings"))
+
+
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link(table(spark, sf_dir, "documents"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.summary(token_counts.histogram(table(spark, sf_dir, "documents"), tokenizer_path()))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(table(spark, sf_dir, "documents")).drop("found")
 
@@ -53,7 +61,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_quality_rules": op2_quality_rules,
         "op3_bpe_round_trip": op3_bpe_round_trip,
+        "op4_ball_tree_top_k": op4_ball_tree_top_k,
         "op5_ngram_join": op5_ngram_join,
+        "op6_token_counts": op6_token_counts,
         "op7_pii": op7_pii,
         "op8_line_dedup": op8_line_dedup,
         "op9_language_id": op9_language_id,
@@ -64,4 +74,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_quality_rules": quality_rules.SQL,
+        "op4_ball_tree_top_k": top_k.SQL,
     }
