@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionlode.llm import bpe, language_id, line_dedup, mixing, ngram_join, pii, quality_rules, token_counts, top_k
+from sessionlode.llm import bpe, language_id, line_dedup, mixing, ngram_join, pii, quality_classifier, quality_rules, token_counts, top_k
 
 
 def tokenizer_path() -> str:
@@ -21,6 +21,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
@@ -59,6 +63,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality_classifier": op1_quality_classifier,
         "op2_quality_rules": op2_quality_rules,
         "op3_bpe_round_trip": op3_bpe_round_trip,
         "op4_ball_tree_top_k": op4_ball_tree_top_k,
