@@ -118,8 +118,10 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
 def clean(docs: DataFrame, text: str = "text") -> DataFrame:
     """The kept rows of ``docs`` with failing lines taken out of ``text``; the columns stay as they are."""
     names = {c: f"c{k}" for k, c in enumerate(docs.columns)}
-    rows = measure(docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), names[text]).where("quality.kept")
-    return rows.select(*[(F.col("quality.text") if c == text else F.col(n)).alias(c) for c, n in names.items()])
+    rows = measure(docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), names[text])
+    # A generator, as a filter would be moved down and have the whole measure computed a second time.
+    rows = rows.select(*[n for c, n in names.items() if c != text], F.explode(F.when(F.col("quality.kept"), F.array("quality.text"))).alias(names[text]))
+    return rows.select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
 _PHRASES = "|".join(BOILERPLATE)
