@@ -6,7 +6,7 @@ Jaccard >= num / den; whether that earlier line itself stays does not matter. Li
 1. Lines of one set: the first stays. Each task only ships the first line that it saw of a set, so that a line that makes
    up a third of all rows is one row a task.
 2. Other lines: words are ordered by rarity; the prefix index (``set_index``) applies the prefix, length and positional
-   filters, and a 64-bit parity bitmap bounds how many words two lines can share. Of each list a line names its earliest
+   filters, and a parity bitmap (64 bits, 256 for long lines) bounds how many words two lines can share. Of each list a line names its earliest
    candidate only, which is linear where thousands of lines are alike. The best-named candidate is verified exactly; only
    for lines that fail it are all other candidates listed and verified.
 """
@@ -26,7 +26,11 @@ from sessionlode.llm.sketches import Bloom, frequencies, slot
 NUM, DEN = 8, 10
 ENTRIES_A_LIST_GROUP = 500_000
 SEEN_SETS = 300_000
+#: Lines of more words carry a bitmap of 256 bits instead of 64.
+LONG = 96
+WIDE = ("w1", "w2", "w3")
 ENTRY = {"key": "uint64", "doc": "int64", "line": "int32", "size": "int32", "place": "int32", "bits": "uint64"}
+LONG_ENTRY = ENTRY | {w: "uint64" for w in WIDE}
 NONE = np.iinfo(np.int64).max
 
 
@@ -116,11 +120,20 @@ def _index(shared, groups: int, num: int, den: int):
                 bounds = np.concatenate(([0], np.cumsum(sizes)))
                 if not len(values):
                     continue
-                bits = np.bitwise_xor.reduceat(H.U64(1) << (values & H.U64(63)), bounds[:-1])
+                one = H.U64(1) << (values & H.U64(63))
+                bits = np.bitwise_xor.reduceat(one, bounds[:-1])
+                word = (values >> H.U64(6)) & H.U64(3)
+                wide = [np.bitwise_xor.reduceat(np.where(word == H.U64(k), one, H.U64(0)), bounds[:-1]) for k in (1, 2, 3)]
                 index, of, rank = _prefixes(values, bounds, counts, num, den)
                 keys, entry = S.spread(values[index], _line_key(doc[fresh], line[fresh])[of], counts)
                 of, rank = of[entry], rank[entry]
-                yield block((keys % H.U64(groups)).astype(np.int32), "entry", key=(keys // H.U64(groups)) & H.U64(0xFFFFFFFF), doc=doc[fresh][of], line=line[fresh][of], size=sizes[of], place=rank, bits=bits[of])
+                pid, keys = (keys % H.U64(groups)).astype(np.int32), (keys // H.U64(groups)) & H.U64(0xFFFFFFFF)
+                long = sizes[of] > LONG
+                for kind, at in (("entry", np.flatnonzero(~long)), ("long", np.flatnonzero(long))):
+                    if len(at):
+                        o = of[at]
+                        more = {w: b[o] for w, b in zip(WIDE, wide, strict=True)} if kind == "long" else {}
+                        yield block(pid[at], kind, key=keys[at], doc=doc[fresh][o], line=line[fresh][o], size=sizes[o], place=rank[at], bits=bits[o], **more)
         if seen:
             yield firsts(seen)
 
@@ -139,10 +152,16 @@ def _walk(x: dict[str, np.ndarray], num: int, den: int, hit=None):
     new[1:] = (np.diff(x["doc"][oldest]) != 0) | (np.diff(x["line"][oldest]) != 0)
     age[oldest] = np.cumsum(new)
     size, bits = x["size"].astype(np.int64), x["bits"]
+    first = bits ^ x["w1"] ^ x["w2"] ^ x["w3"]
+    words = [first, *(x[w] for w in WIDE)]
 
     def keep(i, j):
         apart = size[i] + size[j] - 2 * S.required(size[i], size[j], num, den)
         ok = (np.bitwise_count(bits[i] ^ bits[j]) <= apart) & (age[i] != age[j])
+        both = np.flatnonzero(ok & (size[i] > LONG) & (size[j] > LONG))
+        if len(both):
+            a, b = i[both], j[both]
+            ok[both] = sum(np.bitwise_count(w[a] ^ w[b]).astype(np.int64) for w in words) <= apart[both]
         return ok if hit is None else ok & hit[np.where(age[i] > age[j], i, j)]
 
     pairs = ((np.where(age[i] > age[j], i, j), np.where(age[i] > age[j], j, i)) for i, j in S.walk(lists, size, x["place"].astype(np.int64), num, den, keep))
@@ -161,7 +180,7 @@ def _found_table(kind, doc=None, line=None, to_doc=None, to_line=None, more=None
 def _lists(num: int, den: int):
     def run(table: pa.Table) -> pa.Table:
         pid, out = table.column("pid")[0].as_py(), []
-        parts: dict[str, list[bytes]] = {"gone": [], "set": [], "entry": []}
+        parts: dict[str, list[bytes]] = {"gone": [], "set": [], "entry": [], "long": []}
         for kind, block in zip(table.column("kind").to_pylist(), table.column("block").to_pylist(), strict=True):
             parts[kind].append(block)
         x = S.unpack(parts["gone"], {"doc": "int64", "line": "int32"})
@@ -175,7 +194,9 @@ def _lists(num: int, den: int):
             head = np.flatnonzero(new)[np.cumsum(new) - 1]
             late = (x["doc"] != x["doc"][head]) | (x["line"] != x["line"][head])
             out.append(_found_table("gone", x["doc"][late], x["line"][late]))
-        x = S.unpack(parts["entry"], ENTRY)
+        x, y = S.unpack(parts["entry"], ENTRY), S.unpack(parts["long"], LONG_ENTRY)
+        x |= {w: np.zeros(len(x["key"]), dtype=np.uint64) for w in WIDE}
+        x = {k: np.concatenate([x[k], y[k]]) for k in LONG_ENTRY}
         _, inverse, many = np.unique(x["key"], return_inverse=True, return_counts=True)
         x = {k: v[many[inverse] > 1] for k, v in x.items()}
         lists, age, pairs = _walk(x, num, den)
@@ -207,7 +228,7 @@ def _more(hits, num: int, den: int):
     def run(batches):
         for batch in batches:
             for block in batch.column(0).to_pylist():
-                x = S.unpack([block], ENTRY)
+                x = S.unpack([block], LONG_ENTRY)
                 order = np.lexsort((x["place"], x["size"], x["key"]))
                 x = {k: v[order] for k, v in x.items()}
                 hit = hits.value.hits(_line_key(x["doc"], x["line"]))
