@@ -28,7 +28,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def millis(ts: Column) -> Column:
     """Milliseconds of a local timestamp since 1970, whatever the session's time zone."""
     day = F.datediff(F.to_date(ts), F.lit("1970-01-01")).cast("long")
-    return day * 86_400_000 + F.hour(ts) * 3_600_000 + F.minute(ts) * 60_000 + F.floor(F.extract(F.lit("SECOND"), ts) * 1000)
+    return day * 86_400_000 + F.hour(ts) * 3_600_000 + F.minute(ts) * 60_000 + F.floor(F.extract(F.lit("SECOND"), ts) * 1000).cast("long")
 
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -326,8 +326,8 @@ def rrf_merge(spark, sf):
 # Sync. Users stand for sessions, with the first half of the events as what is indexed already.
 
 _STATE = """
-st AS (SELECT user_id, max(epoch_ms(ts)) AS last, CASE WHEN user_id % 7 = 0 THEN 'error' ELSE 'indexed' END AS status FROM events WHERE event_id % 2 = 0 AND user_id % 5 <> 0 GROUP BY user_id),
-se AS (SELECT user_id, max(epoch_ms(ts)) AS updated FROM events GROUP BY user_id)"""
+st AS (SELECT user_id, max(epoch_us(ts) // 1000) AS last, CASE WHEN user_id % 7 = 0 THEN 'error' ELSE 'indexed' END AS status FROM events WHERE event_id % 2 = 0 AND user_id % 5 <> 0 GROUP BY user_id),
+se AS (SELECT user_id, max(epoch_us(ts) // 1000) AS updated FROM events GROUP BY user_id)"""
 
 
 @query(f"WITH {_STATE} SELECT se.user_id, updated::BIGINT AS time_updated FROM se LEFT JOIN st USING (user_id) WHERE status IS NULL OR status = 'error' OR updated > last")
@@ -349,7 +349,7 @@ def pending_vectors(spark, sf):
 
 @query("""
 SELECT (SELECT count(*) FROM documents) AS chunks, (SELECT count(DISTINCT source) FROM documents) AS sessions, (SELECT count(*) FROM embeddings) AS vectors,
-  (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)) AS pending, (SELECT coalesce(max(epoch_ms(ts)), 0)::BIGINT FROM events) AS last_sync""")
+  (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)) AS pending, (SELECT coalesce(max(epoch_us(ts) // 1000), 0)::BIGINT FROM events) AS last_sync""")
 def status_counts(spark, sf):
     docs, vecs = table(spark, sf, "documents"), table(spark, sf, "embeddings")
     pending = docs.join(vecs.select(F.col("vec_id").alias("doc_id")), "doc_id", "left_anti").agg(F.count("*").alias("pending"))
