@@ -101,10 +101,11 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         F.when(F.size(q("kept_lines")) == q("n_lines"), word_chars).otherwise(F.length(F.regexp_replace(kept_text, WHITE + "+", "")).cast("long")).alias("left_chars"),
         kept_text.alias("text"),
     )
-    out = out.withColumn("quality", counted)
+    # A generator of one row, so that filters on the outcome stay above it and nothing is computed twice.
+    out = out.select(*[F.col(f"`{c}`") for c in docs.columns if c != "quality"], F.explode(F.array(counted)).alias("quality"))
     failed = (q("n_words") < LEAST_WORDS) | (q("n_repeat_words") * 100 > q("n_words") * REPEAT_SHARE)
-    out = out.withColumn("quality", F.col("quality").withField("base_failed", failed))
-    return out.withColumn("quality", F.col("quality").withField("kept", ~q("base_failed") & (q("left_chars") * LEAST_LEFT >= q("word_chars"))))
+    kept = ~failed & (q("left_chars") * LEAST_LEFT >= q("word_chars"))
+    return out.withColumn("quality", F.col("quality").withField("base_failed", failed).withField("kept", kept))
 
 
 def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -119,9 +120,7 @@ def clean(docs: DataFrame, text: str = "text") -> DataFrame:
     """The kept rows of ``docs`` with failing lines taken out of ``text``; the columns stay as they are."""
     names = {c: f"c{k}" for k, c in enumerate(docs.columns)}
     rows = measure(docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), names[text])
-    # A generator, as a filter would be moved down and have the whole measure computed a second time.
-    rows = rows.select(*[n for c, n in names.items() if c != text], F.explode(F.when(F.col("quality.kept"), F.array("quality.text"))).alias(names[text]))
-    return rows.select(*[F.col(n).alias(c) for c, n in names.items()])
+    return rows.where("quality.kept").select(*[(F.col("quality.text") if c == text else F.col(n)).alias(c) for c, n in names.items()])
 
 
 _PHRASES = "|".join(BOILERPLATE)
