@@ -24,7 +24,7 @@ from sessionlode.llm.scratch import Scratch
 from sessionlode.llm.sketches import Bloom, frequencies, slot
 
 NUM, DEN = 8, 10
-ENTRIES_A_LIST_GROUP = 500_000
+ENTRIES_A_LIST_GROUP = 250_000
 SEEN_SETS = 300_000
 #: Lines of more words carry a bitmap of 256 bits instead of 64.
 LONG = 96

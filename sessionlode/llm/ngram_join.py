@@ -29,7 +29,7 @@ from sessionlode.llm.scratch import Scratch
 from sessionlode.llm.sketches import Bloom, frequencies, slot
 
 NUM, DEN = 9, 10
-ENTRIES_A_LIST_GROUP = 400_000
+ENTRIES_A_LIST_GROUP = 300_000
 SEEN_SETS = 300_000
 
 
@@ -55,8 +55,8 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int
 
     Words are runs outside ``\\x20 \\x09-\\x0D`` with A-Z lower-cased; a text of fewer than ``width`` words is one shingle,
     one without words (or null) has an empty set and is linked with nothing. Documents link at Jaccard >= num / den.
-    A row without a doc_id gets its n_shingles, takes no part in links, and has a null component_id. Rows that repeat a
-    doc_id repeat its result. Other columns are not looked at. An empty table gives an empty result.
+    A row without a doc_id gets its n_shingles, takes no part in links, and has a null component_id. Rows that share a
+    doc_id are one document and share its component (if their texts differ, one text stands for it). Other columns are not looked at. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngram-join")
