@@ -3,7 +3,7 @@
 Each language has a distribution over byte n-grams, hashed into a table of fixed size, learned by one count over labelled
 documents. A document is a mixture: expectation-maximisation over its n-grams estimates the proportion of each language.
 A language that adds less to the likelihood than the penalty for one more parameter (half the log of the number of
-n-grams, times ``penalty``) is taken out again, least proportion first; what stays is the document's language set, and
+n-grams, times ``penalty``) is taken out again, trifling ones together, then least proportion first; what stays is the document's language set, and
 the largest proportion names its language.
 """
 
@@ -21,6 +21,7 @@ TABLE_BITS = 16
 SMOOTH = 0.05
 ROUNDS = 12
 PENALTY = 4.0
+TRIFLE = 0.03
 SLICE = 1 << 20
 
 
@@ -108,44 +109,60 @@ def _mixtures(model: np.ndarray, grams: np.ndarray, bounds: np.ndarray, penalty:
     row, gram = packed[at] >> TABLE_BITS, packed[at] & ((1 << TABLE_BITS) - 1)
     first = np.searchsorted(row, rows)
     total = np.add.reduceat(weight, first).astype(np.float64)
-    logs = model[gram]
-    shift = logs.max(axis=1)
-    like = np.exp(logs - shift[:, None]).astype(np.float32)
+    # One row a language, so that sums over languages run along memory.
+    like = np.ascontiguousarray(model.T.astype(np.float32)[:, gram])
+    like -= like.max(axis=0)
+    np.exp(like, out=like)
     sizes = np.diff(np.append(first, len(row)))
 
-    def fit(live: np.ndarray, alive: np.ndarray, like, weight, first, sizes, total, rounds=ROUNDS):
-        """Proportions and log likelihood (less the shift) of the given rows with the languages in ``live``."""
+    def fit(live: np.ndarray, like, weight, first, sizes, total):
+        """Proportions and log likelihood (up to a constant) of the given rows with the languages in ``live``."""
         share = live / live.sum(axis=1, keepdims=True)
+        rounds = ROUNDS if live.sum(axis=1).max() > 1 else 0
+        joint = np.empty_like(like)
         for k in range(rounds + 1):
-            joint = like * np.repeat(share.astype(np.float32), sizes, axis=0)
-            mass = joint.sum(axis=1)
+            for j in range(languages):
+                np.multiply(like[j], np.repeat(share[:, j].astype(np.float32), sizes), out=joint[j])
+            mass = joint[0].copy()
+            for j in range(1, languages):
+                mass += joint[j]
             np.maximum(mass, 1e-30, out=mass)
             if k == rounds:
                 return share, np.add.reduceat(weight * np.log(mass), first)
-            joint *= (weight / mass)[:, None]
-            share = np.add.reduceat(joint, first, axis=0).astype(np.float64) / total[:, None]
+            np.divide(weight, mass, out=mass)
+            joint *= mass
+            share = np.add.reduceat(joint, first, axis=1).T.astype(np.float64) / total[:, None]
         return None
 
     live = np.ones((len(rows), languages))
-    share, score = fit(live, None, like, weight, first, sizes, total)
-    todo = np.arange(len(rows))
+    share, score = fit(live, like, weight, first, sizes, total)
     cost = penalty * 0.5 * np.log(total + 1)
-    while len(todo):
-        todo = todo[live[todo].sum(axis=1) > 1]
-        if not len(todo):
-            break
+
+    def without(todo: np.ndarray, trial: np.ndarray) -> np.ndarray:
+        """Takes languages out of the rows ``todo`` where that costs less than the penalty; gives the rows where it did."""
+        # Rows that are down to one language need no rounds, so they go apart.
+        for some in (trial.sum(axis=1) == 1, trial.sum(axis=1) > 1):
+            if not some.any():
+                continue
+            at = todo[some]
+            pick = np.zeros(len(rows), dtype=bool)
+            pick[at] = True
+            inner = np.repeat(pick, sizes)
+            part = np.concatenate(([0], np.cumsum(sizes[at])[:-1]))
+            new_share, new_score = fit(trial[some], like[:, inner], weight[inner], part, sizes[at], total[at])
+            ok = score[at] - new_score < cost[at] * (live[at].sum(axis=1) - trial[some].sum(axis=1))
+            live[at[ok]], share[at[ok]], score[at[ok]] = trial[some][ok], new_share[ok], new_score[ok]
+        return todo[(live[todo] == trial).all(axis=1)]
+
+    # All languages of a trifling share in one go, then the least one at a time.
+    trial = np.where((share < TRIFLE) & (share < share.max(axis=1, keepdims=True)), 0.0, live)
+    todo = np.flatnonzero((trial != live).any(axis=1))
+    without(todo, trial[todo])
+    todo = np.arange(len(rows))
+    while len(todo := todo[live[todo].sum(axis=1) > 1]):
         trial = live[todo].copy()
-        least = np.where(trial > 0, share[todo], np.inf).argmin(axis=1)
-        trial[np.arange(len(todo)), least] = 0
-        pick = np.zeros(len(rows), dtype=bool)
-        pick[todo] = True
-        inner = np.repeat(pick, sizes)
-        part = np.concatenate(([0], np.cumsum(sizes[todo])[:-1]))
-        new_share, new_score = fit(trial, None, like[inner], weight[inner], part, sizes[todo], total[todo])
-        drop = score[todo] - new_score < cost[todo]
-        done = todo[drop]
-        live[done], share[done], score[done] = trial[drop], new_share[drop], new_score[drop]
-        todo = done
+        trial[np.arange(len(todo)), np.where(trial > 0, share[todo], np.inf).argmin(axis=1)] = 0
+        todo = without(todo, trial)
     out[rows] = share * (live > 0)
     return out
 
