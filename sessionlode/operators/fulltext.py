@@ -25,15 +25,15 @@ def phrase_count(terms: Column, phrase: list[str]) -> Column:
         return F.lit(0)
     if len(phrase) == 1:
         return F.size(terms) - F.size(F.array_remove(terms, phrase[0]))
-    hits = F.filter(F.transform(terms, lambda t, i: F.when(t == phrase[0], i)), lambda i: i.isNotNull())
 
-    def follows(i: Column) -> Column:
-        out = F.lit(True)
-        for k, term in enumerate(phrase[1:], 1):
-            out = out & (F.get(terms, i + k) == term)
+    def here(term: Column, i: Column) -> Column:
+        out = term == phrase[0]
+        for k, other in enumerate(phrase[1:], 1):
+            out = out & (F.get(terms, i + k) == other)
         return F.coalesce(out, F.lit(False))
 
-    return F.size(F.filter(hits, follows))
+    held = F.array_contains(terms, phrase[0]) & F.array_contains(terms, phrase[1])
+    return F.when(held, F.size(F.filter(terms, here))).otherwise(0)
 
 
 def idf(n: Column | float, df: Column) -> Column:
@@ -54,8 +54,9 @@ def rank_texts(docs: DataFrame, key: str, text: str, phrases: list[list[str]], k
     keeps a row, and one for the hits; both read the key, the text and ``keep`` only."""
     keep = keep or []
     columns = docs.select(key, *keep, terms(F.coalesce(F.col(text), F.lit(""))).alias("terms"))
-    tfs = [phrase_count(F.col("terms"), p) for p in phrases]
-    narrow = columns.select(key, *keep, F.size("terms").alias("length"), *[tf.alias(f"tf{k}") for k, tf in enumerate(tfs)])
+    counted = F.struct(F.size("terms").alias("length"), *[phrase_count(F.col("terms"), p).alias(f"tf{k}") for k, p in enumerate(phrases)])
+    # A generator of one row: filters on the counts stay above it, and each text is tokenized once.
+    narrow = columns.select(key, *keep, F.inline(F.array(counted)))
     if not phrases:
         return narrow.select(key, *keep, F.lit(0.0).alias("score")).limit(0)
     stats = narrow.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *[F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(phrases))])
@@ -137,9 +138,10 @@ def corpus_stats(docs: DataFrame, text: str) -> DataFrame:
 def document_frequencies(docs: DataFrame, text: str) -> DataFrame:
     """(term, df, cf): documents and occurrences of each term; the counts combine before the shuffle."""
     terms = T.terms(F.coalesce(F.col(text), F.lit("")))
-    # Each row gives its distinct terms with their counts, so a term is counted in documents and occurrences in one go.
-    rows = docs.select(terms.alias("terms")).select(F.explode(F.array_distinct("terms")).alias("term"), "terms")
-    return rows.select("term", (F.size("terms") - F.size(F.array_remove("terms", F.col("term")))).alias("tf")).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    # Terms in order, each with a mark on its first occurrence in the row; marks and occurrences are added up before the shuffle.
+    rows = docs.select(F.sort_array(terms).alias("terms"))
+    marked = F.transform("terms", lambda t, i: F.struct(t.alias("term"), F.when(F.coalesce(F.get(F.col("terms"), i - 1) == t, F.lit(False)), 0).otherwise(1).alias("first")))
+    return rows.select(F.inline(marked)).groupBy("term").agg(F.sum("first").alias("df"), F.count("*").alias("cf"))
 
 
 def idf_value(n: int, df: int) -> float:

@@ -12,6 +12,7 @@ from sessionlode.functions.stemmer import stem_text, stem_word
 from sessionlode.operators import chunking, fulltext, fusion, vectors, windows
 from sessionlode.plans.index import replace_sessions, upsert
 from sessionlode.sources import parts as P
+from sessionlode.sources import tables
 from sessionlode.sources.embedder import cache_key
 from sessionlode.sources.history import from_conversations
 
@@ -25,6 +26,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """For plans that do much with each text: small tables are spread over the cores."""
+    return tables.read(spark, f"{sf_dir}/{name}.parquet", list(columns))
+
+
 def millis(ts: Column) -> Column:
     """Milliseconds of a local timestamp since 1970, whatever the session's time zone."""
     day = F.datediff(F.to_date(ts), F.lit("1970-01-01")).cast("long")
@@ -56,7 +62,7 @@ SELECT doc_id, length(content)::INT AS n, CASE WHEN length(content) <= 300 THEN
   sha256(left(content, 6000)) AS embed_sha, length(left(content, 6000))::INT AS embed_chars FROM c WHERE content <> ''""")
 def chunk_text(spark, sf):
     """Text chunks: trimmed content, snippet, text to embed; empty ones vanish."""
-    rows = table(spark, sf, "documents").select("doc_id", T.trim_space(F.col("text")).alias("content")).where(F.col("content") != "")
+    rows = texts(spark, sf, "documents", "doc_id", "text").select("doc_id", T.trim_space(F.col("text")).alias("content")).where(F.col("content") != "")
     embed = T.head(F.col("content"), T.EMBED_CHARS)
     return rows.select("doc_id", F.length("content").alias("n"), T.snippet(F.col("content")).alias("snippet"), F.sha2(embed, 256).alias("embed_sha"), F.length(embed).alias("embed_chars"))
 
@@ -67,7 +73,7 @@ d AS (SELECT page_id, length(o) > 4096 AS truncated, 'fetch' || CASE WHEN cmd <>
 SELECT page_id, truncated, length(content)::INT AS n, sha256(content) AS content_sha FROM d""")
 def chunk_tool_output(spark, sf):
     """Tool chunks: cleaned command and output, the output cut at 4096 code points."""
-    rows = table(spark, sf, "pages").select("page_id", T.clean(F.col("url")).alias("cmd"), T.clean(F.col("html")).alias("o"))
+    rows = texts(spark, sf, "pages", "page_id", "url", "html").select("page_id", T.clean(F.col("url")).alias("cmd"), T.clean(F.col("html")).alias("o"))
     content = chunking.tool_content(F.lit("fetch"), F.col("cmd"), T.head(F.col("o"), T.TOOL_OUTPUT_CHARS))
     return rows.select("page_id", (F.length("o") > T.TOOL_OUTPUT_CHARS).alias("truncated"), F.length(content).alias("n"), F.sha2(content, 256).alias("content_sha"))
 
@@ -192,7 +198,7 @@ SELECT doc_id, round({score}, 9) AS score FROM tf, s WHERE ({hit}) {where} ORDER
 
 
 def _fts(spark, sf, text: str, every: bool = True, condition=None, terms=T.terms, word=lambda w: w) -> DataFrame:
-    docs = table(spark, sf, "documents")
+    docs = texts(spark, sf, "documents", "doc_id", "text", "source", "lang")
     scored = fulltext.rank_texts(docs, "doc_id", "text", T.phrases(text, word), ["source", "lang"], every, terms)
     if condition is not None:
         scored = scored.where(condition)
@@ -206,18 +212,18 @@ def _rounded(df: DataFrame) -> DataFrame:
 @query(rf"WITH {_DOCS}, w AS (SELECT doc_id, unnest(t) AS term FROM docs) SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM w GROUP BY term")
 def tokenize_terms(spark, sf):
     """The vocabulary with document and collection frequencies."""
-    return fulltext.document_frequencies(table(spark, sf, "documents"), "text")
+    return fulltext.document_frequencies(texts(spark, sf, "documents", "text"), "text")
 
 
 @query(rf"WITH {_DOCS} SELECT count(*) AS n_docs, round(avg(len(t)), 6) AS avg_length, sum(len(t))::BIGINT AS n_terms FROM docs")
 def corpus_stats(spark, sf):
-    return fulltext.corpus_stats(table(spark, sf, "documents"), "text").withColumn("avg_length", F.round("avg_length", 6))
+    return fulltext.corpus_stats(texts(spark, sf, "documents", "text"), "text").withColumn("avg_length", F.round("avg_length", 6))
 
 
 @query(rf"WITH {_DOCS}, w AS (SELECT doc_id, unnest(t) AS term, generate_subscripts(t, 1) - 1 AS p FROM docs) SELECT term, doc_id::VARCHAR AS id, count(*)::INT AS tf, min(p)::INT AS first_position FROM w GROUP BY ALL")
 def postings(spark, sf):
     """The postings table: term, document, occurrences."""
-    rows = fulltext.postings(table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id"), "text"), "text")
+    rows = fulltext.postings(texts(spark, sf, "documents", "doc_id", "text").select(F.col("doc_id").cast("string").alias("id"), "text"), "text")
     return rows.select("term", "id", F.size("positions").alias("tf"), F.get("positions", 0).alias("first_position"))
 
 
