@@ -99,7 +99,7 @@ def main(argv: list[str] | None = None, out=print) -> int:
         embedder = _embedder(config)
         index = Index.open(spark, config.index, config.embed_dim, config.embed_model)
         cache = spark.read.parquet(config.embed_cache) if config.embed_cache else None
-        stats = index.run(history, args.project or None, args.limit or None, embedder, not args.no_lexical and config.lexical_index, cache, args.backfill)
+        stats = index.run(history, args.project or None, args.limit or None, embedder, not args.no_lexical and config.lexical_index, cache, args.backfill, args.embed_pause)
         out(json.dumps(vars(stats)))
     elif args.command == "serve":
         index = Index.open(spark, config.index, config.embed_dim, config.embed_model)

@@ -54,7 +54,7 @@ class Stats:
 class Manifest:
     version: int = 0
     segments: list[int] = field(default_factory=list)
-    dim: int = schemas.SCHEMA_VERSION
+    dim: int = 0
     model: str = ""
     schema_version: int = schemas.SCHEMA_VERSION
 
@@ -160,11 +160,12 @@ class Index:
         rows = sessions.join(state, "id", "left")
         return rows.where(F.col("status").isNull() | (F.col("status") == "error") | (F.col("time_updated") > F.col("last_time_updated"))).drop("status", "last_time_updated")
 
-    def run(self, history: History, project: str | None = None, limit: int | None = None, embedder: Embedder | None = None, lexical: bool = True, cache: DataFrame | None = None, backfill: bool = False) -> Stats:
+    def run(self, history: History, project: str | None = None, limit: int | None = None, embedder: Embedder | None = None, lexical: bool = True, cache: DataFrame | None = None, backfill: bool = False, pause_s: float = 0.0) -> Stats:
         """Brings the index up to date: one set-based job over all sessions that need it, newest first up to ``limit``.
 
         A session that yields no chunks any more loses its old ones. If embedding fails, rows are written without vectors
-        and the sessions' state is an error, so the next run takes them again.
+        and the sessions' state is an error, so the next run takes them again. ``pause_s`` makes executors wait after each
+        call's batches.
         """
         stats = Stats()
         sessions = history.located(history.session)
@@ -178,12 +179,12 @@ class Index:
         ids = [r["id"] for r in todo.select("id").limit(1).collect()]
         stats.skipped = stats.sessions - waiting
         if ids:
-            self._index(history, todo, stats, embedder, lexical, cache)
+            self._index(history, todo, stats, embedder, lexical, cache, pause_s)
         if backfill and embedder is not None:
             stats.backfilled = self.backfill(embedder)
         return stats
 
-    def _index(self, history: History, todo: DataFrame, stats: Stats, embedder: Embedder | None, lexical: bool, cache: DataFrame | None) -> None:
+    def _index(self, history: History, todo: DataFrame, stats: Stats, embedder: Embedder | None, lexical: bool, cache: DataFrame | None, pause_s: float) -> None:
         seg = max(self.manifest.segments, default=0) + 1
         keys = todo.select(F.col("id").alias("session_id"))
         parts = History(history.project, todo, history.message.join(keys, "session_id", "left_semi"), history.part.join(keys, "session_id", "left_semi"))
@@ -194,7 +195,7 @@ class Index:
         if embedder is not None:
             try:
                 wanted = chunks.where(pending()).select("id", F.col("embed_text").alias("text"))
-                vectors, _ = embed_cached(wanted, cache, embedder)
+                vectors, _ = embed_cached(wanted, cache, embedder, pause_s)
                 self._write_vectors(seg, chunks, vectors)
             except Exception as failure:  # a failing service must not lose the texts
                 error = f"embedding failed: {str(failure).splitlines()[0][:200]}"

@@ -103,7 +103,7 @@ def embed_table(rows: DataFrame, embedder: Embedder, batch: int = BATCH, pause_s
     return rows.select("id", "text").mapInPandas(run, "id string, embedding array<float>")
 
 
-def embed_cached(rows: DataFrame, cache: DataFrame | None, embedder: Embedder) -> tuple[DataFrame, DataFrame]:
+def embed_cached(rows: DataFrame, cache: DataFrame | None, embedder: Embedder, pause_s: float = 0.0) -> tuple[DataFrame, DataFrame]:
     """((id, embedding) of all rows, (key, embedding) new to the cache). A vector of another dimension or none is a miss.
 
     Equal texts are embedded once.
@@ -113,6 +113,6 @@ def embed_cached(rows: DataFrame, cache: DataFrame | None, embedder: Embedder) -
     if cache is not None:
         known = cache.where(F.size("embedding") == embedder.dim)
         misses = misses.join(known, "key", "left_anti")
-    fresh = embed_table(misses.select(F.col("key").alias("id"), "text"), embedder).withColumnRenamed("id", "key")
+    fresh = embed_table(misses.select(F.col("key").alias("id"), "text"), embedder, pause_s=pause_s).withColumnRenamed("id", "key")
     every = fresh if cache is None else known.select("key", "embedding").unionByName(fresh)
     return keyed.join(every, "key").select("id", "embedding"), fresh
