@@ -69,16 +69,20 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, fold: bool = False) -> tup
     if not len(data):
         return np.zeros(0, dtype=np.uint64), np.zeros(len(starts), dtype=np.int64)
     inside = ~WHITE[data]
-    before = np.empty(len(data), dtype=bool)
-    before[0] = False
-    before[1:] = inside[:-1]
-    before[starts[:-1][starts[:-1] < len(data)]] = False
-    first = np.flatnonzero(inside & ~before)
+    edge = starts[:-1][starts[:-1] < len(data)]
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    begins[edge] |= inside[edge]
+    first = np.flatnonzero(begins)
     if not len(first):
         return np.zeros(0, dtype=np.uint64), np.zeros(len(starts), dtype=np.int64)
+    ends = inside.copy()
+    ends[:-1] &= ~inside[1:]
+    edge = edge[edge > 0] - 1
+    ends[edge] |= inside[edge]
+    lengths = np.flatnonzero(ends) - first + 1
+    at = np.cumsum(lengths) - lengths
     kept = np.flatnonzero(inside)
-    at = np.searchsorted(kept, first)
-    lengths = np.diff(np.append(at, len(kept)))
     longest = int(lengths.max())
     table = _POWERS if longest <= len(_POWERS) else powers(longest)
     place = np.arange(len(kept), dtype=np.int64) - np.repeat(at, lengths)
