@@ -73,11 +73,16 @@ def top(scored: DataFrame, ties: list, k: int = CANDIDATES) -> DataFrame:
     return scored.orderBy(F.desc("score"), *ties).limit(k)
 
 
-def postings(chunks: DataFrame, text: str, terms: Callable[[Column], Column] = T.terms) -> DataFrame:
-    """(term, id, positions): one row per term and chunk, laid out by term, so that a query reads few row groups."""
-    rows = chunks.select("id", F.posexplode(terms(F.col(text))).alias("position", "term"))
-    grouped = rows.groupBy("term", "id").agg(F.sort_array(F.collect_list("position")).alias("positions"))
-    return grouped.repartition("term").sortWithinPartitions("term")
+def postings(chunks: DataFrame, text: str, terms: Callable[[Column], Column] = T.terms, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(term, id, *keep, positions): one row per term and chunk."""
+    rows = chunks.select("id", *keep, F.posexplode(terms(F.col(text))).alias("position", "term"))
+    grouped = rows.groupBy("term", "id", *keep).agg(F.sort_array(F.collect_list("position")).alias("positions"))
+    return grouped.select("term", "id", *keep, "positions")
+
+
+def by_term(table: DataFrame) -> DataFrame:
+    """Laid out for reading by term: a query reads few row groups, and a term of many chunks spans several files."""
+    return table.repartitionByRange("term", "id").sortWithinPartitions("term", "id")
 
 
 def _phrase_hits(table: DataFrame, phrase: list[str], name: str) -> DataFrame:

@@ -222,7 +222,7 @@ class Index:
             if name.startswith("lex") and not lexical:
                 continue
             analyze = ANALYZERS[name]
-            fulltext.postings(chunks, column, analyze).join(chunks.select("id", "session_id"), "id").select("term", "id", "session_id", "positions").repartition("term").sortWithinPartitions("term").write.parquet(f"{self.path}/{name}/seg={seg}")
+            fulltext.by_term(fulltext.postings(chunks, column, analyze, ("session_id",))).write.parquet(f"{self.path}/{name}/seg={seg}")
             chunks.select("id", "session_id", "project_path", "part_type", "time_created", "position", F.size(analyze(F.col(column))).alias("length")).write.parquet(f"{self.path}/{name}_lengths/seg={seg}")
 
     def _write_vectors(self, seg: int, chunks: DataFrame, vectors: DataFrame) -> None:
