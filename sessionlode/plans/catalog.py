@@ -329,10 +329,12 @@ def rrf_merge(spark, sf):
     return merged.select("id", F.round("score", 9).alias("score")).orderBy(F.desc("score"), "id").limit(50)
 
 
-# Sync. Users stand for sessions, with the first half of the events as what is indexed already.
+# Sync. Users stand for sessions; their sign-ups and views are what is indexed already, and a session whose last event is an
+# error has failed.
 
 _STATE = """
-st AS (SELECT user_id, max(epoch_us(ts) // 1000) AS last, CASE WHEN user_id % 7 = 0 THEN 'error' ELSE 'indexed' END AS status FROM events WHERE event_id % 2 = 0 AND user_id % 5 <> 0 GROUP BY user_id),
+st AS (SELECT user_id, max(epoch_us(ts) // 1000) FILTER (event_type IN ('signup', 'view')) AS last,
+  CASE WHEN arg_max(event_type, ts) = 'error' THEN 'error' ELSE 'indexed' END AS status FROM events GROUP BY user_id HAVING last IS NOT NULL),
 se AS (SELECT user_id, max(epoch_us(ts) // 1000) AS updated FROM events GROUP BY user_id)"""
 
 
@@ -341,7 +343,9 @@ def needs_indexing(spark, sf):
     """Sessions without a state, with an error, or updated since."""
     events = table(spark, sf, "events")
     ms = millis(F.col("ts"))
-    state = events.where((F.col("event_id") % 2 == 0) & (F.col("user_id") % 5 != 0)).groupBy("user_id").agg(F.max(ms).alias("last")).withColumn("status", F.when(F.col("user_id") % 7 == 0, "error").otherwise("indexed"))
+    seen = F.max(F.when(F.col("event_type").isin("signup", "view"), ms))
+    failed = F.max_by("event_type", "ts") == "error"
+    state = events.groupBy("user_id").agg(seen.alias("last"), F.when(failed, "error").otherwise("indexed").alias("status")).where("last is not null")
     rows = events.groupBy("user_id").agg(F.max(ms).alias("time_updated")).join(state, "user_id", "left")
     return rows.where(F.col("status").isNull() | (F.col("status") == "error") | (F.col("time_updated") > F.col("last"))).select("user_id", "time_updated")
 
@@ -364,21 +368,24 @@ def status_counts(spark, sf):
 
 
 @query("""
-SELECT conv_id, turn, upper(role) AS role, length(text)::INT AS n FROM conversations WHERE conv_id % 3 = 0 AND turn < 2
-UNION ALL SELECT conv_id, turn, role, length(text)::INT AS n FROM conversations WHERE conv_id NOT IN (SELECT conv_id FROM conversations WHERE conv_id % 3 = 0 AND turn < 2)""")
+WITH new AS (SELECT c.conv_id, c.turn, upper(c.role) AS role, length(c.text)::INT AS n FROM conversations c JOIN (SELECT DISTINCT conv_id FROM conversations WHERE role = 'system') USING (conv_id) WHERE c.role <> 'system')
+SELECT * FROM new UNION ALL SELECT conv_id, turn, role, length(text)::INT AS n FROM conversations WHERE conv_id NOT IN (SELECT conv_id FROM new)""")
 def replace_session(spark, sf):
-    """New rows of a session replace all its old ones."""
+    """Sessions with a system turn come anew without it; their new rows replace all old ones."""
     c = table(spark, sf, "conversations").select("conv_id", "turn", "role", F.length("text").alias("n"))
-    return replace_sessions(c, c.where("conv_id % 3 = 0 and turn < 2").withColumn("role", F.upper("role")), "conv_id")
+    marked = c.where("role = 'system'").select("conv_id").distinct()
+    new = c.where("role <> 'system'").join(marked, "conv_id", "left_semi").withColumn("role", F.upper("role"))
+    return replace_sessions(c, new, "conv_id")
 
 
 @query("""
-WITH old AS (SELECT doc_id, source, n_chars FROM documents WHERE doc_id % 2 = 0), new AS (SELECT doc_id, 'new' AS source, n_chars + 1 AS n_chars FROM documents WHERE doc_id % 3 = 0)
-SELECT * FROM new UNION ALL SELECT * FROM old WHERE doc_id NOT IN (SELECT doc_id FROM new)""")
+WITH new AS (SELECT doc_id, 'labelled' AS source, quality::BIGINT AS n_chars FROM labels)
+SELECT * FROM new UNION ALL SELECT doc_id, source, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM new)""")
 def upsert_rows(spark, sf):
     """Rows of equal keys are replaced, others added."""
     docs = table(spark, sf, "documents").select("doc_id", "source", "n_chars")
-    return upsert(docs.where("doc_id % 2 = 0"), docs.where("doc_id % 3 = 0").select("doc_id", F.lit("new").alias("source"), (F.col("n_chars") + 1).alias("n_chars")), ["doc_id"])
+    new = table(spark, sf, "labels").select("doc_id", F.lit("labelled").alias("source"), F.col("quality").cast("long").alias("n_chars"))
+    return upsert(docs, new, ["doc_id"])
 
 
 @query("SELECT n.n_nationkey AS id, n_name AS title, CASE WHEN r_name IS NULL OR r_name = '' THEN '(global)' ELSE r_name END AS project_path FROM nation n LEFT JOIN region ON n_regionkey = r_regionkey AND r_regionkey <> 2")
