@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionlode.llm import bpe, language_id, line_dedup, mixing, ngram_join, pii, quality_classifier, quality_rules, token_counts, top_k
+from sessionlode.llm.scratch import Scratch
 
 
 def tokenizer_path() -> str:
@@ -42,7 +43,8 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.summary(token_counts.histogram(table(spark, sf_dir, "documents"), tokenizer_path()))
+    lengths = token_counts.histogram(table(spark, sf_dir, "documents"), tokenizer_path())
+    return token_counts.summary(Scratch(spark, "lengths").table(lengths, "histogram"))  # read more than once
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
