@@ -33,8 +33,8 @@ BASE = {
     "card": r"[0-9](?:[ -]?[0-9])++",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
-#: A text without this sign has no match.
-SIGN = {"email": "@", "ip": ".", "phone": "+"}
+#: A text without these has no match.
+NEEDS = {"email": "@", "ip": r"\.", "card": "[0-9]", "phone": r"\+", "ssn": "[0-9]", "tel": "[0-9]"}
 #: Candidates of further kinds.
 PROPOSED = {
     "name": r"(?<![\p{L}\p{N}])(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Mme|Mlle|Sr|Sra)\.? \p{Lu}[\p{L}'’-]{1,30}(?: \p{Lu}[\p{L}'’-]{1,30})?",
@@ -98,9 +98,9 @@ def _sums_before(values: Column) -> Column:
 _NO_SPANS = "array<struct<start:int,end:int,match:string>>"
 
 
-def _found(docs: DataFrame, name: str, text: Column, pattern: str, sign: str | None) -> DataFrame:
+def _found(docs: DataFrame, name: str, text: Column, pattern: str) -> DataFrame:
     """Adds ``name``: all leftmost non-overlapping matches, with their code point offsets."""
-    has = text.contains(sign) if sign else text.rlike(r"[0-9]") if pattern[:2] != "(?" or "[0-9]" in pattern else F.lit(True)
+    has = text.rlike(NEEDS[name]) if name in NEEDS else F.lit(True)
     raw = f"{name}_raw"
     docs = docs.withColumn(raw, F.when(has, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))))
     any_match = F.size(raw) > 0
@@ -167,12 +167,12 @@ def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     whole = F.col("text")
     for kind, pattern in BASE.items():
-        rows = _found(rows, kind, whole, pattern, SIGN.get(kind))
+        rows = _found(rows, kind, whole, pattern)
         rows = rows.withColumn(kind, F.transform(F.filter(kind, _validator(kind)), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
     base = F.concat(*[F.col(k) for k in BASE])
     rows = rows.withColumn("base", base)
     for kind, pattern in PROPOSED.items():
-        rows = _found(rows, kind, whole, pattern, None)
+        rows = _found(rows, kind, whole, pattern)
         apart = F.filter(kind, lambda s: ~F.exists("base", lambda b: (s["start"] < b["end"]) & (b["start"] < s["end"])))
         rows = rows.withColumn(kind, F.transform(apart, _voter(kind, whole)))
     return rows.drop("text", "base")
