@@ -19,7 +19,7 @@ FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 FOLDED_KEYS = BYTE_KEYS[FOLD]
 STEP = U64(0x9E3779B97F4A7C15)
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -20,12 +20,14 @@ from pyspark.sql import functions as F
 
 from sessionlode.llm import hashing as H
 from sessionlode.llm import set_index as S
-from sessionlode.llm.scratch import Scratch
+from sessionlode.llm.scratch import Scratch, small_batches
 from sessionlode.llm.sketches import Bloom, frequencies, slot
 
 NUM, DEN = 8, 10
 ENTRIES_A_LIST_GROUP = 250_000
 SEEN_SETS = 300_000
+#: Index entries that a task gathers before it packs them by group.
+GATHERED = 200_000
 #: Lines of more words carry a bitmap of 256 bits instead of 64.
 LONG = 96
 WIDE = ("w1", "w2", "w3")
@@ -80,12 +82,24 @@ def _index(shared, groups: int, num: int, den: int):
         at = np.array(list(seen.values()), dtype=np.int64)
         return block((keys[:, 0] % H.U64(groups)).astype(np.int32), "set", d1=keys[:, 0], d2=keys[:, 1], doc=at[:, 0], line=at[:, 1])
 
+    def flush(gathered):
+        for kind, parts in gathered.items():
+            if parts:
+                pid, columns = zip(*parts, strict=True)
+                yield block(np.concatenate(pid), kind, **{k: np.concatenate([c[k] for c in columns]) for k in columns[0]})
+                parts.clear()
+
     def run(batches):
         counts, seen = shared.value, {}
+        gathered: dict[str, list] = {"gone": [], "entry": [], "long": []}
+        held = 0
         for batch in batches:
             batch = batch.filter(batch.column(0).is_valid())
             ids = batch.column(0).to_numpy()
             for at, data, starts in H.text_slices(batch.column(1)):
+                if held >= GATHERED:
+                    yield from flush(gathered)
+                    held = 0
                 line_starts, row, place = _lines(data, starts)
                 values, bounds = H.distinct_in_rows(*H.word_hashes(data, line_starts))
                 full = np.flatnonzero(np.diff(bounds))
@@ -106,7 +120,8 @@ def _index(shared, groups: int, num: int, den: int):
                         gone.append(here)
                 if gone:
                     gone = np.array(gone, dtype=np.int64)
-                    yield block((_line_key(gone[:, 0], gone[:, 1]) % H.U64(groups)).astype(np.int32), "gone", doc=gone[:, 0], line=gone[:, 1])
+                    gathered["gone"].append(((_line_key(gone[:, 0], gone[:, 1]) % H.U64(groups)).astype(np.int32), {"doc": gone[:, 0], "line": gone[:, 1]}))
+                    held += len(gone)
                 if len(seen) >= SEEN_SETS:
                     yield firsts(seen)
                     seen = {}
@@ -129,11 +144,13 @@ def _index(shared, groups: int, num: int, den: int):
                 of, rank = of[entry], rank[entry]
                 pid, keys = (keys % H.U64(groups)).astype(np.int32), (keys // H.U64(groups)) & H.U64(0xFFFFFFFF)
                 long = sizes[of] > LONG
-                for kind, at in (("entry", np.flatnonzero(~long)), ("long", np.flatnonzero(long))):
-                    if len(at):
-                        o = of[at]
+                for kind, some in (("entry", np.flatnonzero(~long)), ("long", np.flatnonzero(long))):
+                    if len(some):
+                        o = of[some]
                         more = {w: b[o] for w, b in zip(WIDE, wide, strict=True)} if kind == "long" else {}
-                        yield block(pid[at], kind, key=keys[at], doc=doc[fresh][o], line=line[fresh][o], size=sizes[o], place=rank[at], bits=bits[o], **more)
+                        gathered[kind].append((pid[some], {"key": keys[some], "doc": doc[fresh][o], "line": line[fresh][o], "size": sizes[o], "place": rank[some], "bits": bits[o]} | more))
+                        held += len(some)
+        yield from flush(gathered)
         if seen:
             yield firsts(seen)
 
@@ -287,8 +304,12 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Rows without a doc_id, and null or empty texts, have no such lines. Rows that repeat a doc_id count as one document:
     equal lines at one place are one line. Other columns are not looked at. An empty table gives an empty result.
     """
+    with small_batches(docs.sparkSession):
+        return _repeated_lines(docs, doc_id, text, num, den, scratch or Scratch(docs.sparkSession, "line-dedup"))
+
+
+def _repeated_lines(docs: DataFrame, doc_id: str, text: str, num: int, den: int, scratch: Scratch) -> DataFrame:
     spark = docs.sparkSession
-    scratch = scratch or Scratch(spark, "line-dedup")
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("text"))
     counts = frequencies(rows.select("text"), _word_slices)
     groups = max(2 * spark.sparkContext.defaultParallelism, int(counts.sum()) * (den - num) // den // ENTRIES_A_LIST_GROUP)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from sessionlode.llm import hashing as H
 from sessionlode.llm import set_index as S
 from sessionlode.llm.components import components
-from sessionlode.llm.scratch import Scratch
+from sessionlode.llm.scratch import Scratch, small_batches
 from sessionlode.llm.sketches import Bloom, frequencies, slot
 
 NUM, DEN = 9, 10
@@ -58,6 +58,11 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int
     A row without a doc_id gets its n_shingles, takes no part in links, and has a null component_id. Rows that share a
     doc_id are one document and share its component (if their texts differ, one text stands for it). Other columns are not looked at. An empty table gives an empty result.
     """
+    with small_batches(docs.sparkSession):
+        return _link(docs, doc_id, text, width, num, den)
+
+
+def _link(docs: DataFrame, doc_id: str, text: str, width: int, num: int, den: int) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngram-join")
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))

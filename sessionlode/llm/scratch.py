@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import tempfile
 import uuid
@@ -11,6 +12,21 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
+BATCH_ROWS = 1000
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS):
+    """Jobs that run inside send texts to Python in batches of so many rows, for less memory; then the setting is as before."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; only where that is unset, as in local tests, a temporary one."""
     return spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "checkpoints")
@@ -39,9 +55,9 @@ class Scratch:
         self.held.clear()
 
     def table(self, df: DataFrame, name: str, wide: bool = False) -> DataFrame:
-        """Writes and reads again. A narrow table gets no more files than the cluster has cores, a wide one four times as many."""
+        """Writes and reads again. A narrow table gets no more files than the cluster has cores, a wide one twice as many."""
         path = f"{self.root}/{name}"
-        df.coalesce(max(1, self.spark.sparkContext.defaultParallelism) * (4 if wide else 1)).write.parquet(path)
+        df.coalesce(max(1, self.spark.sparkContext.defaultParallelism) * (2 if wide else 1)).write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str = "") -> None:
