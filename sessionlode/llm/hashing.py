@@ -6,6 +6,7 @@ random odd numbers, finished by an avalanche step; two different words share one
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,6 +42,14 @@ def powers(n: int) -> np.ndarray:
 _POWERS = powers(1 << 12)
 
 
+def release_memory() -> None:
+    """Gives freed memory back to the system, at the end of a task: Python workers that wait for the next one would keep it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # absent outside glibc
+    if trim is not None:
+        trim(0)
+
+
 def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, row starts with the end appended) for runs of rows of about ``limit`` bytes. Null reads as empty.
 

@@ -153,6 +153,8 @@ def _index(shared, groups: int, num: int, den: int):
         yield from flush(gathered)
         if seen:
             yield firsts(seen)
+        seen = None
+        H.release_memory()
 
     return run
 

@@ -31,6 +31,7 @@ from sessionlode.llm.sketches import Bloom, frequencies, slot
 NUM, DEN = 9, 10
 ENTRIES_A_LIST_GROUP = 300_000
 SEEN_SETS = 300_000
+SALTS = 16
 
 
 def _sets(batch: pa.RecordBatch, at: int, width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -56,7 +57,8 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int
     Words are runs outside ``\\x20 \\x09-\\x0D`` with A-Z lower-cased; a text of fewer than ``width`` words is one shingle,
     one without words (or null) has an empty set and is linked with nothing. Documents link at Jaccard >= num / den.
     A row without a doc_id gets its n_shingles, takes no part in links, and has a null component_id. Rows that share a
-    doc_id are one document and share its component (if their texts differ, one text stands for it). Other columns are not looked at. An empty table gives an empty result.
+    doc_id are one document and share its component (if their texts differ, one text stands for
+    it). Other columns are not looked at. An empty table gives an empty result.
     """
     with small_batches(docs.sparkSession):
         return _link(docs, doc_id, text, width, num, den)
@@ -78,7 +80,10 @@ def _link(docs: DataFrame, doc_id: str, text: str, width: int, num: int, den: in
 
     named = sets.where("n > 0 and doc_id is not null")
     least = named.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    copies = scratch.table(named.join(least, ["d1", "d2"]).where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).distinct(), "copies")
+    # Only sets with copies are joined; each has SALTS rows, so that a set of very many copies meets in as many tasks.
+    least = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = named.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    copies = scratch.table(salted.join(least, ["d1", "d2", "salt"]).where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).distinct(), "copies")
 
     starred = found.where("leader is not null").groupBy(F.col("owner").alias("a"), F.col("leader").alias("b")).agg(F.count("*").alias("votes"))
     starred = _plausible(starred, prefixes, shared, num, den)
@@ -132,6 +137,8 @@ def _index(shared, width: int, num: int, den: int):
                     seen.add(key)
                     prefix[i] = _prefix(values[bounds[i] : bounds[i + 1]], counts, num, den).tobytes()
                 yield pa.RecordBatch.from_arrays([ids.slice(row, n), pa.array(np.diff(bounds)), pa.array(H.to_signed(d1)), pa.array(H.to_signed(d2)), pa.array(prefix, pa.binary())], names=["doc_id", "n", "d1", "d2", "prefix"])
+        seen = None
+        H.release_memory()
 
     return run
 
