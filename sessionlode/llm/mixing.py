@@ -1,11 +1,13 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-A source's documents are cut into blocks of equal size; time is cut into slots of one block. Block k of a source with the
-share n / D of the slots is released at floor(k D / n) and due at ceil((k + 1) D / n). In each slot the released block with
-the earliest deadline runs. The shares add up to 1, so every block meets its deadline, and at any time a source is less
-than one block away from its share. Shares are fractions of the period D, so the schedule repeats after D slots, and one
-period on the driver is the whole schedule; a document's slot follows by arithmetic. When a source runs out, a new phase
-starts with the shares of those that are left. No document is dropped or repeated.
+A source's documents are cut into blocks of equal size; time is cut into slots of one block. A source with the weight w gets
+the share w / W of each slot, W being the weights of the sources that are not used up yet; so k of its blocks are due at a
+time t(k). Block k is released at floor(t(k)) and due at ceil(t(k + 1)). In each slot the released block with the earliest
+deadline runs. The shares add up to 1, so every block meets its deadline, and at any time of the whole mix, before and after
+sources run out, a source is less than one block away from its share. All times come from the weights as given, in whole
+numbers of any length, so nothing is rounded but release and deadline. No document is dropped or repeated.
+
+The driver goes through the slots once and keeps 8 bytes for each block; documents meet the slots of their blocks in a join.
 
 Native: SQL functions, one shuffle of the documents by (source, hash range). No task holds a source: a source's documents
 are ranked within hash ranges of about a thousand, whose sizes are then summed up.
@@ -15,13 +17,21 @@ from __future__ import annotations
 
 import heapq
 import math
+from array import array
+from bisect import bisect_left
 from collections.abc import Mapping
+from fractions import Fraction
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = 64
+#: Blocks of a source in a row of the table of slots.
 PERIOD = 4096
+#: A table of slots for more blocks than that is not broadcast.
+BROADCAST_BLOCKS = 4_000_000
 MAX_STREAMS = 256
 RANGE_ROWS = 1024
 
@@ -43,40 +53,63 @@ def shares(weights: list[float], period: int) -> list[int]:
     return out
 
 
-def one_period(counts: list[int]) -> list[list[int]]:
-    """For each source the slots of its blocks within a period, by earliest deadline first."""
-    period = sum(counts)
-    slots: list[list[int]] = [[] for _ in counts]
-    waiting = [(0, s) for s in range(len(counts))]  # (release, source)
-    heapq.heapify(waiting)
-    ready: list[tuple[int, int]] = []  # (deadline, source)
-    for now in range(period):
+def whole(weights: list[float]) -> list[int]:
+    """Whole numbers in exactly the proportions of the weights."""
+    ratios = [w.as_integer_ratio() for w in weights]
+    scale = max((q for _, q in ratios), default=1)  # all are powers of two
+    out = [p * (scale // q) for p, q in ratios]
+    common = math.gcd(*out) or 1
+    return [x // common for x in out]
+
+
+def timetable(weights: list[float], blocks: list[int]) -> list[array]:
+    """For each source the slots of its blocks, by earliest deadline first."""
+    w = whole(weights)
+    slots = [array("q") for _ in blocks]
+    live = sorted((s for s, n in enumerate(blocks) if n), key=lambda s: Fraction(blocks[s], w[s]))  # in the order in which they run out
+    ends = [blocks[s] / w[s] for s in live]
+    done, loads = [0], [sum(w[s] for s in live)]  # before each of these ends: blocks of those that have run out, weights of the others
+    for s in live:
+        done.append(done[-1] + blocks[s])
+        loads.append(loads[-1] - w[s])
+
+    def due(s: int, k: int) -> int:
+        """t(k), times w[s]."""
+        at = min(bisect_left(ends, k / w[s]), len(live) - 1)
+        while at and blocks[live[at - 1]] * w[s] > k * w[live[at - 1]]:
+            at -= 1
+        while blocks[live[at]] * w[s] < k * w[live[at]]:
+            at += 1
+        return done[at] * w[s] + k * loads[at]
+
+    waiting = [(0, s) for s in sorted(live)]  # (release, source)
+    ready: list[tuple[int, int, int]] = []  # (deadline, source, release of its next block)
+    for now in range(done[-1]):
         while waiting and waiting[0][0] <= now:
             _, s = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(len(slots[s]) + 1) * period // counts[s]), s))
-        _, s = heapq.heappop(ready)
+            t = due(s, len(slots[s]) + 1)
+            heapq.heappush(ready, (-(-t // w[s]), s, t // w[s]))
+        _, s, release = heapq.heappop(ready)
         slots[s].append(now)
-        if len(slots[s]) < counts[s]:
-            heapq.heappush(waiting, (len(slots[s]) * period // counts[s], s))
+        if len(slots[s]) < blocks[s]:
+            heapq.heappush(waiting, (release, s))
     return slots
 
 
-def phases(weights: list[float], blocks: list[int], period: int = PERIOD) -> list[tuple[int, int, int, int, int, int, list[int]]]:
-    """Rows (stream, first block, end block, first slot, share, period, slots in the period) of the whole schedule."""
-    left, done, base, rows = list(blocks), [0] * len(blocks), 0, []
-    while any(left):
-        live = [s for s, n in enumerate(left) if n]
-        d = max(period, 4 * len(live))
-        counts = shares([weights[s] for s in live], d)
-        slots = one_period(counts)
-        end = min((left[s] - 1) // n * d + at[(left[s] - 1) % n] for s, n, at in zip(live, counts, slots, strict=True)) + 1
-        for s, n, at in zip(live, counts, slots, strict=True):
-            ran = end // d * n + sum(x < end % d for x in at)
-            if ran:
-                rows.append((s, done[s], done[s] + ran, base, n, d, at))
-            done[s] += ran
-            left[s] -= ran
-        base += end
+def one_period(counts: list[int]) -> list[list[int]]:
+    """For each source the slots of its blocks within a period of sum(counts) slots."""
+    return [list(x) for x in timetable(counts, counts)]
+
+
+def phases(weights: list[float], blocks: list[int], period: int = PERIOD) -> list[tuple[int, int, int, int, int, int, array]]:
+    """Rows (stream, first block, end block, first slot, blocks, slots, slot of each block from the first on) of the whole
+    schedule. A row has ``period`` blocks of its stream, the last one what is left.
+    """
+    rows = []
+    for s, at in enumerate(timetable(weights, blocks)):
+        for first in range(0, len(at), period):
+            part = at[first : first + period]
+            rows.append((s, first, first + len(part), part[0], len(part), part[-1] - part[0] + 1, array("q", [x - part[0] for x in part])))
     return rows
 
 
@@ -127,10 +160,12 @@ def schedule(docs: DataFrame, weights: Mapping[str, float] | None = None, doc_id
     ranked_rows = rows.withColumn("rank", F.row_number().over(within) - 1).join(ranges, ["stream", "range"]).withColumn("rank", F.col("rank") + F.col("offset")).drop("offset", "range", "mix_h")
     ranked_rows = ranked_rows.withColumn("mix_block", F.expr(f"rank div {int(block)}"))
 
-    table = spark.createDataFrame(plan, "stream int, first long, end long, base long, share long, period long, slots array<int>")
-    placed = ranked_rows.join(F.broadcast(table.withColumnRenamed("stream", "phase_stream")), (F.col("stream") == F.col("phase_stream")) & (F.col("mix_block") >= F.col("first")) & (F.col("mix_block") < F.col("end")))
-    k = F.col("mix_block") - F.col("first")
-    slot = F.col("base") + F.floor(k / F.col("share")) * F.col("period") + F.get("slots", (k % F.col("share")).cast("int"))
+    lots = pa.table({"stream": pa.array([r[0] for r in plan], pa.int32()), "lot": pa.array([r[1] // period for r in plan], pa.int64()), "base": pa.array([r[3] for r in plan], pa.int64()), "slots": pa.array([np.frombuffer(r[6], dtype=np.int64) for r in plan], pa.list_(pa.int64()))})
+    table = spark.createDataFrame(lots)
+    if sum(r[4] for r in plan) <= BROADCAST_BLOCKS:
+        table = F.broadcast(table)
+    placed = ranked_rows.withColumn("lot", F.expr(f"mix_block div {int(period)}")).join(table, ["stream", "lot"])
+    slot = F.col("base") + F.get("slots", (F.col("mix_block") % int(period)).cast("int"))
     placed = placed.withColumn("mix_slot", slot.cast("long")).withColumn("mix_position", F.col("mix_slot") * block + F.col("rank") % block)
     return placed.select(*[F.col(n).alias(c) for c, n in names.items()], "mix_block", "mix_slot", F.col("mix_position").cast("long").alias("mix_position"))
 

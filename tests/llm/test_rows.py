@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import math
 import random
 import re
 import zlib
@@ -309,6 +310,27 @@ def test_pfair_windows_and_deviation():
             assert np.abs(ran - n * np.arange(1, period + 1) / period).max() < 1
 
 
+def test_schedule_keeps_to_the_target_weights():
+    """A long mix with shares that no period of slots holds, one far below a slot in 4096, and sources that run out early."""
+    for blocks in ([3000, *[1579] * 19, 3], [5000, 50, 300, 1000, 2000, 1, 1]):
+        weights = [math.sqrt(n) for n in blocks]
+        weights[-1] = 1e-3
+        ran = np.zeros((len(blocks), sum(blocks)))
+        for s, first, end, base, n, d, at in mixing.phases(weights, blocks):
+            for i in range(first, end):
+                ran[s, base + (i - first) // n * d + at[(i - first) % n]] += 1
+        assert (ran.sum(axis=0) == 1).all()
+        share, now, left = np.zeros_like(ran), np.zeros(len(blocks)), np.array(blocks, dtype=float)
+        for t in range(ran.shape[1]):
+            room = 1.0
+            while room > 1e-9 and (left > 1e-9).any():  # the share of each source, to the moment one runs out
+                live = np.where(left > 1e-9, weights, 0.0)
+                step = min(room, (left[live > 0] / live[live > 0]).min() * live.sum())
+                left, now, room = left - live / live.sum() * step, now + live / live.sum() * step, room - step
+            share[:, t] = now
+        assert np.abs(ran.cumsum(axis=1) - share).max() < 1 + 1e-6
+
+
 def test_phases_place_every_block_once():
     rng = random.Random(3)
     for _ in range(40):
