@@ -1,7 +1,7 @@
 """From raw documents to tokens: quality rules, line dedup, near-duplicate removal, mixing, BPE.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
-stage's docs. All but the last return the columns of documents.
+stage's docs. All but the last return the columns of documents; the last gives each row its place in the mix.
 """
 
 from __future__ import annotations
@@ -39,13 +39,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order of the mix."""
+    """All documents, in the order of the mix. Tables that are read again lose the order; ``tokens`` gives the places again."""
     return mixing.mix(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and the digests of the token ids and of the text decoded from them."""
-    return bpe.round_trip(docs.select("doc_id", "text"), tokenizer_path())
+    """mix_position, doc_id, n_tokens and the digests of the token ids and of the text decoded from them, in the order of
+    the mix. The places are those of ``mixed``, which depend on the documents alone, not on the order they are read in.
+    """
+    columns = ["n_tokens", "ids_sha256", "decoded_sha256"]
+    coded = bpe.round_trip(docs.select("doc_id", "source", "text", mixing.tied(docs).alias("tie")), tokenizer_path())
+    coded = Scratch(spark, "tokens").table(coded, "coded")  # read more than once
+    return mixing.schedule(coded, tie="tie").orderBy("mix_position").select("mix_position", "doc_id", *columns)
 
 
 STAGES = [
@@ -65,5 +70,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = scratch.table(docs, f"stage-{k}", wide=True)
+            docs = scratch.table(docs, f"stage-{k}", wide=True, ordered=stage is mixed)
     return docs

@@ -24,7 +24,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = 64
@@ -34,6 +34,7 @@ PERIOD = 4096
 BROADCAST_BLOCKS = 4_000_000
 MAX_STREAMS = 256
 RANGE_ROWS = 1024
+PLACES = ("mix_block", "mix_slot", "mix_position")
 
 
 def shares(weights: list[float], period: int) -> list[int]:
@@ -113,7 +114,12 @@ def phases(weights: list[float], blocks: list[int], period: int = PERIOD) -> lis
     return rows
 
 
-def schedule(docs: DataFrame, weights: Mapping[str, float] | None = None, doc_id: str = "doc_id", source: str = "source", block: int = BLOCK, period: int = PERIOD, max_streams: int = MAX_STREAMS) -> DataFrame:
+def tied(docs: DataFrame) -> Column:
+    """A hash of all columns but maps and variants: the order of rows that share a doc_id."""
+    return F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if c not in PLACES and "map<" not in kind and "variant" not in kind])
+
+
+def schedule(docs: DataFrame, weights: Mapping[str, float] | None = None, doc_id: str = "doc_id", source: str = "source", block: int = BLOCK, period: int = PERIOD, max_streams: int = MAX_STREAMS, tie: str | None = None) -> DataFrame:
     """``docs`` with the columns mix_block, mix_slot and mix_position (long; columns of these names are replaced).
 
     mix_slot counts blocks over the whole mix, mix_block within the source; mix_position orders documents (slot * block +
@@ -121,11 +127,12 @@ def schedule(docs: DataFrame, weights: Mapping[str, float] | None = None, doc_id
     them, the square root of a source's documents. The ``max_streams`` heaviest sources (by weight, then documents, then
     name) have streams of their own; all others, a null source, and sources without a positive weight share one more
     stream, in the same hash order, with the sum of their weights (or the least weight, if they have none).
-    Every row comes back once; repeated rows and rows without a doc_id keep places of their own. An empty table stays empty.
+    Every row comes back once; repeated rows and rows without a doc_id keep places of their own, in the order of the
+    column ``tie`` (without one, of ``tied``), so the same rows always get the same places. An empty table stays empty.
     """
     spark = docs.sparkSession
-    names = {c: f"c{k}" for k, c in enumerate(c for c in docs.columns if c not in ("mix_block", "mix_slot", "mix_position"))}
-    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    names = {c: f"c{k}" for k, c in enumerate(c for c in docs.columns if c not in PLACES)}
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()], *([] if tie else [tied(docs).alias("mix_tie")]))
     id_col, source_col = F.col(names[doc_id]), F.col(names[source]).cast("string")
     sizes = rows.groupBy(source_col.alias("source")).count()
     if weights is None:
@@ -156,7 +163,7 @@ def schedule(docs: DataFrame, weights: Mapping[str, float] | None = None, doc_id
     ranges = rows.groupBy("stream", "range").agg(F.count("*").alias("n"))
     before = Window.partitionBy("stream").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.select("stream", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    within = Window.partitionBy("stream", "range").orderBy("mix_h", id_col)
+    within = Window.partitionBy("stream", "range").orderBy("mix_h", id_col, F.col(names[tie]) if tie else "mix_tie")
     ranked_rows = rows.withColumn("rank", F.row_number().over(within) - 1).join(ranges, ["stream", "range"]).withColumn("rank", F.col("rank") + F.col("offset")).drop("offset", "range", "mix_h")
     ranked_rows = ranked_rows.withColumn("mix_block", F.expr(f"rank div {int(block)}"))
 
@@ -172,4 +179,4 @@ def schedule(docs: DataFrame, weights: Mapping[str, float] | None = None, doc_id
 
 def mix(docs: DataFrame, **settings) -> DataFrame:
     """``docs`` in the order of the mix, as a range-partitioned sort by position; the columns stay as they are."""
-    return schedule(docs, **settings).orderBy("mix_position").select(*[c for c in docs.columns if c not in ("mix_block", "mix_slot", "mix_position")])
+    return schedule(docs, **settings).orderBy("mix_position").select(*[c for c in docs.columns if c not in PLACES])

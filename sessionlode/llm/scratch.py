@@ -54,10 +54,16 @@ class Scratch:
             df.unpersist()
         self.held.clear()
 
-    def table(self, df: DataFrame, name: str, wide: bool = False) -> DataFrame:
-        """Writes and reads again. A narrow table gets no more files than the cluster has cores, a wide one twice as many."""
+    def table(self, df: DataFrame, name: str, wide: bool = False, ordered: bool = False) -> DataFrame:
+        """Writes and reads again. A narrow table gets no more files than the cluster has cores, a wide one twice as many.
+
+        An ordered one keeps its partitions, so that its files, by name, hold the rows in their order; reading it again as
+        one table does not keep to that order.
+        """
         path = f"{self.root}/{name}"
-        df.coalesce(max(1, self.spark.sparkContext.defaultParallelism) * (2 if wide else 1)).write.parquet(path)
+        if not ordered:
+            df = df.coalesce(max(1, self.spark.sparkContext.defaultParallelism) * (2 if wide else 1))
+        df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str = "") -> None:

@@ -3,7 +3,8 @@
 from fixtures import SCHEMA, awkward, linked, repeated, words
 
 import corpus_pipeline
-from sessionlode.llm import quality_rules
+from sessionlode.llm import bpe, mixing, quality_rules
+from sessionlode.llm.queries import tokenizer_path
 
 
 def test_stages(spark, tmp_path):
@@ -35,3 +36,18 @@ def test_stages(spark, tmp_path):
     final = stages[4](spark, out, str(tmp_path))
     assert {r["doc_id"] for r in final.collect()} == want
     assert sorted(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).collect())) == sorted(map(tuple, final.collect()))
+
+
+def test_run_is_in_the_order_of_the_mix(spark, tmp_path):
+    rows = awkward(9, 60)
+    rows += [(3, "Another text that has the number of an earlier one, with quite different words in it.", "en", "s1", 0)]
+    rows += [(None, f"A text without a number, the {w} one of them, and long enough to stay where it is.", "en", "s1", 0) for w in ("first", "second", "third")]
+    spark.createDataFrame(rows, SCHEMA).repartition(6).write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        out = stage(spark, docs, str(tmp_path))
+        docs = spark.createDataFrame(out.collect(), out.schema)
+    want = bpe.round_trip(mixing.schedule(docs), tokenizer_path()).collect()
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    key = lambda r: (r["mix_position"], r["doc_id"], r["ids_sha256"])
+    assert len(want) > 30 and list(map(key, got)) == sorted(map(key, want))
