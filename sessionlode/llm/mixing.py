@@ -7,7 +7,7 @@ deadline runs. The shares add up to 1, so every block meets its deadline, and at
 sources run out, a source is less than one block away from its share. All times come from the weights as given, in whole
 numbers of any length, so nothing is rounded but release and deadline. No document is dropped or repeated.
 
-The driver goes through the slots once and keeps 8 bytes for each block; documents meet the slots of their blocks in a join.
+The driver knows the sources, goes through the slots once and keeps 8 bytes for each block; documents meet the slots of their blocks in a join.
 
 Native: SQL functions, one shuffle of the documents by (source, hash range). No task holds a source: a source's documents
 are ranked within hash ranges of about a thousand, whose sizes are then summed up.
@@ -124,9 +124,10 @@ def schedule(docs: DataFrame, weights: Mapping[str, float] | None = None, doc_id
 
     mix_slot counts blocks over the whole mix, mix_block within the source; mix_position orders documents (slot * block +
     place in the block). Within a source the order is by a hash of doc_id. ``weights``: target weights by source; without
-    them, the square root of a source's documents. The ``max_streams`` heaviest sources (by weight, then documents, then
-    name) have streams of their own; all others, a null source, and sources without a positive weight share one more
-    stream, in the same hash order, with the sum of their weights (or the least weight, if they have none).
+    them, the square root of a source's documents. Every source that occurs and has a positive weight is a stream of its own,
+    however many there are; their table is broadcast up to ``max_streams`` sources, beyond that Spark chooses by its size.
+    Only a null source and sources without a positive weight, which have no target, share one stream, in the same hash
+    order, with the least weight of the others.
     Every row comes back once; repeated rows and rows without a doc_id keep places of their own, in the order of the
     column ``tie`` (without one, of ``tied``), so the same rows always get the same places. An empty table stays empty.
     """
@@ -134,29 +135,23 @@ def schedule(docs: DataFrame, weights: Mapping[str, float] | None = None, doc_id
     names = {c: f"c{k}" for k, c in enumerate(c for c in docs.columns if c not in PLACES)}
     rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()], *([] if tie else [tied(docs).alias("mix_tie")]))
     id_col, source_col = F.col(names[doc_id]), F.col(names[source]).cast("string")
-    sizes = rows.groupBy(source_col.alias("source")).count()
+    sizes = rows.groupBy(source_col.alias("source")).count().toArrow()
+    sizes = list(zip(sizes.column("source").to_pylist(), sizes.column("count").to_pylist(), strict=True))
     if weights is None:
-        ranked = sizes.withColumn("weight", F.sqrt(F.col("count").cast("double")))
+        loads = {name: math.sqrt(n) for name, n in sizes if name is not None}
     else:
-        given = {str(k): float(v) for k, v in weights.items() if v > 0}
-        if len(given) > max_streams:
-            given = dict(sorted(given.items(), key=lambda x: (-x[1], x[0]))[:max_streams])
-        listed = F.create_map(*[F.lit(x) for kv in given.items() for x in kv]) if given else F.create_map().cast("map<string,double>")
-        ranked = sizes.withColumn("weight", F.get(F.filter(F.array(listed[F.col("source")]), lambda x: x.isNotNull()), 0))
-    top = ranked.where("source is not null and weight is not null").orderBy(F.desc("weight"), F.desc("count"), "source").limit(max_streams)
-    total = ranked.agg(F.sum("count"), F.sum(F.when(F.col("source").isNotNull(), F.col("weight")))).first()
-    own = [(r["source"], r["count"], r["weight"]) for r in top.collect()]
-    other = (total[0] or 0) - sum(n for _, n, _ in own)
-    other_weight = (total[1] or 0.0) - sum(w for _, _, w in own)
-    if other_weight <= 1e-9:
-        other_weight = min((w for _, _, w in own), default=1.0)
-    counts, loads = [n for _, n, _ in own] + [other], [w for _, _, w in own] + [other_weight]
+        loads = {str(k): float(v) for k, v in weights.items() if v > 0}
+    own = sorted(((name, n, loads[name]) for name, n in sizes if name in loads), key=lambda x: (-x[2], -x[1], x[0]))
+    other = sum(n for name, n in sizes if name not in loads)
+    counts, loads = [n for _, n, _ in own] + [other], [w for _, _, w in own] + [min((w for _, _, w in own), default=1.0)]
     plan = phases(loads, [-(-n // block) for n in counts], period)
 
     bits = [max(0, (n // RANGE_ROWS).bit_length()) for n in counts]
-    streams = spark.createDataFrame([(name, s, bits[s]) for s, (name, _, _) in enumerate(own)], "source string, stream int, bits int")
+    streams = spark.createDataFrame(pa.table({"mix_source": pa.array([name for name, _, _ in own], pa.string()), "stream": pa.array(range(len(own)), pa.int32()), "bits": pa.array(bits[:-1], pa.int32())}))
+    if len(own) <= max_streams:
+        streams = F.broadcast(streams)
     rows = rows.withColumn("mix_h", F.xxhash64(id_col))
-    rows = rows.join(F.broadcast(streams.withColumnRenamed("source", "mix_source")), source_col == F.col("mix_source"), "left").drop("mix_source")
+    rows = rows.join(streams, source_col == F.col("mix_source"), "left").drop("mix_source")
     rows = rows.withColumn("stream", F.coalesce("stream", F.lit(len(own)))).withColumn("bits", F.coalesce("bits", F.lit(bits[-1])))
     rows = rows.withColumn("range", F.when(F.col("bits") == 0, F.lit(0).cast("long")).otherwise(F.expr("shiftrightunsigned(mix_h, 64 - bits)"))).drop("bits")
 

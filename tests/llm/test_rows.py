@@ -359,6 +359,20 @@ def test_schedule(spark, docs, weights, streams):
     assert {r["mix_position"]: r["doc_id"] for r in rows} == {r["mix_position"]: r["doc_id"] for r in again}
 
 
+@pytest.mark.parametrize("given", [False, True])
+def test_every_source_is_scheduled(spark, given):
+    """More sources than max_streams by default, and heavy weights of sources that do not occur."""
+    sizes = {f"s{k}": 2 + k % 7 if given else 6 for k in range(300)}
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))], "doc_id long, source string")
+    weights = {f"absent{k}": 1e9 for k in range(300)} | {s: float(n) for s, n in sizes.items()} if given else None
+    rows = mixing.schedule(df, weights, block=1).collect()
+    order = [r["source"] for r in sorted(rows, key=lambda r: r["mix_position"])]
+    assert Counter(order) == sizes
+    at = {s: np.cumsum([x == s for x in order]) for s in sizes}
+    due = np.arange(1, len(order) + 1) / len(order)
+    assert max(np.abs(at[s] - n * due).max() for s, n in sizes.items()) < 1
+
+
 def test_mix_orders_rows(spark, docs):
     out = mixing.mix(docs, block=2, period=64)
     assert out.columns == docs.columns
