@@ -27,6 +27,10 @@ QUERIES_A_GROUP = 2048
 FLOOR = -(2**63)
 
 
+def _cut(score: int) -> int:
+    return max(FLOOR, min(2**63 - 1, score))
+
+
 class BallTree:
     """Arrays of one shard: vectors and ids in leaf order, and nodes (center, radius, first row, end row, children)."""
 
@@ -61,12 +65,17 @@ class BallTree:
                 perm[first:end] = rows[cut]
                 stack += [(first, first + half, node), (first + half, end, node)]
             else:
-                perm[first:end] = np.sort(rows)  # by id, for ties among equal vectors
+                rows = np.sort(rows)  # by id, for ties among equal vectors
+                if (own == own[0]).all():  # one row an id
+                    new = np.append(True, np.diff(ids[rows]) != 0)
+                    self.spans[node] = (first, first + int(new.sum()))
+                    rows = np.concatenate([rows[new], rows[~new]])
+                perm[first:end] = rows
         self.ids, self.vectors = ids[perm], vectors[perm]
         self.centers, self.radii = np.array(self.centers), np.array(self.radii)
 
     def search(self, query_id: int, query: np.ndarray, k: int, best: list[tuple[int, int]], floor: int) -> list[tuple[int, int]]:
-        """``best`` (score, -id), sorted from the best on, with this shard's rows merged in."""
+        """``best`` (score, -id), sorted from the best on, with this shard's rows merged in; equal ones count once."""
         q = query.astype(np.float64)
         length = float(np.sqrt(q @ q))
 
@@ -94,7 +103,7 @@ class BallTree:
             scores = self.vectors[first:end] @ query
             at = np.flatnonzero((scores >= kth) & (self.ids[first:end] != query_id)) if scores.dtype != object else [i for i, s in enumerate(scores) if s >= kth and self.ids[first + i] != query_id]
             if len(at):
-                best = sorted([*best, *((int(scores[i]), -int(self.ids[first + i])) for i in at)], reverse=True)[:k]
+                best = sorted({*best, *((_cut(int(scores[i])), -int(self.ids[first + i])) for i in at)}, reverse=True)[:k]
         return best
 
 
@@ -148,7 +157,7 @@ def _meet(k: int):
                 for score, other in best:
                     out[0].append(query_id)
                     out[1].append(-other)
-                    out[2].append(max(FLOOR, min(2**63 - 1, score)))
+                    out[2].append(score)
         return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.int64())})
 
     return run

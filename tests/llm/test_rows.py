@@ -162,6 +162,26 @@ def test_top_k_matches_brute_force(spark):
     assert set(got) == {i for i in ints if i % 50 == 0}
 
 
+@pytest.mark.parametrize("times", [8, 300])
+def test_top_k_counts_repeated_candidates_once(spark, times):
+    """The best candidates of all queries come many times each, in all shards; other ids have the same best vector."""
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(4500, 3)).round(2))]
+    tops = [(7001 + k, [9.0 * (-1) ** (k // 2 % 2), 9.0 * (-1) ** (k % 2), 9.0 * (-1) ** (k // 4)]) for k in range(8)]
+    rows += [r for r in tops for _ in range(times)] + [(8003, tops[0][1]), (8001, tops[0][1]), (8002, tops[0][1])]
+    rows = [rows[i] for i in rng.permutation(len(rows))]
+    got = {}
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    for r in top_k.search(df).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    ids = np.array([i for i, _ in rows])
+    ints = np.floor(256 * np.array([v for _, v in rows])).astype(np.int64)
+    for q in range(0, 4500, 50):
+        scores = ints @ ints[np.flatnonzero(ids == q)[0]]
+        best = sorted({(-int(s), int(i)) for s, i in zip(scores, ids, strict=True) if i != q})[:5]
+        assert sorted(got[q]) == [(k, i, -s) for k, (s, i) in enumerate(best, 1)]
+
+
 def test_top_k_small_and_wide(spark):
     make = lambda rows: top_k.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
     assert make([]) == [] and make([(0, [1.0])]) == []
