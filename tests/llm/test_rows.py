@@ -221,6 +221,14 @@ def test_base_spans_match_brute_force(spark):
         assert [r[f"n_{k}"] for k in pii.BASE] == [sum(x == k for x, _ in want) for k in pii.BASE]
 
 
+def test_secrets_of_any_length_are_proposed(spark):
+    key = "".join(random.Random(4).choices("abcdefghABCDEFGH0123456789+/", k=3000))
+    texts = [f"token: {key[:n]} end" for n in (15, 16, 256, 257, 3000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: [(s["start"], s["end"]) for s in r["secret"]] for r in pii.spans(df).select("doc_id", "secret").collect()}
+    assert got == {0: [], 1: [(7, 23)], 2: [(7, 263)], 3: [(7, 264)], 4: [(7, 3007)]}
+
+
 def test_weak_labels_find_secrets(spark):
     rng = random.Random(3)
     hexed = lambda n: "".join(rng.choices("0123456789abcdef", k=n))
