@@ -14,8 +14,8 @@ TOOL_OUTPUT_CHARS = 4096
 READ_OUTPUT_CHARS = 16384
 EMBED_CHARS = 6000
 CUT_MARK = "...[truncated]"
-#: Unicode white space, at either end of a text.
-_EDGES = r"^[\s\u000B\p{Z}\u0085]+|[\s\u000B\p{Z}\u0085]+$"
+#: Unicode white space. Code points.
+WHITE = "".join(map(chr, (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 #: Query tokens: letters, decimal digits, low line.
 WORD = r"[\p{L}\p{Nd}_]+"
 #: Index tokens: letters, numbers of any sort, private use.
@@ -25,7 +25,7 @@ DROPPED_MARKS = "".join(map(chr, (0x300, 0x301, 0x302, 0x303, 0x304, 0x306, 0x30
 
 
 def trim_space(text: Column) -> Column:
-    return F.regexp_replace(text, _EDGES, "")
+    return F.trim(text, F.lit(WHITE))
 
 
 def head(text: Column, n: int) -> Column:

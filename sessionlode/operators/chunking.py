@@ -27,7 +27,7 @@ def chunkify(parts: DataFrame, messages: DataFrame, sessions: DataFrame) -> Data
     ``messages`` gives roles (a missing message: empty), ``sessions`` (id, project_id, project_path) the project. Positions
     keep the gaps that parts without a chunk leave.
     """
-    data, kind = F.col("data"), F.col("type")
+    data, kind = F.col("payload"), F.col("type")
     rows = parts.where(kind.isin(*INDEXED_TYPES)).where(P.valid(data, kind))
     command, raw = T.clean(P.field(data, "command")), T.clean(P.field(data, "output"))
     rows = rows.select(
@@ -66,7 +66,7 @@ def invalid_chunks(chunks: DataFrame) -> DataFrame:
 
 
 def describe(data: Column, kind: Column) -> Column:
-    """One line about a part, for listings."""
+    """One line about a part with a parsed payload, for listings."""
     short = lambda name, n: T.snippet(P.field(data, name), n)
     ok = P.valid(data, kind)
     files = P.files(data)

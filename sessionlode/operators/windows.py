@@ -11,7 +11,7 @@ from sessionlode.sources import parts as P
 
 def window(parts: DataFrame, roles: DataFrame, start: int, end: int, output_chars: int = T.READ_OUTPUT_CHARS) -> DataFrame:
     """Parts at positions start..end with full contents, in order. Tool outputs are cut; a broken payload fails the read."""
-    data, kind = F.col("data"), F.col("type")
+    data, kind = F.col("payload"), F.col("type")
     known = kind.isin("text", "reasoning", "tool", "patch")
     broken = known & ~P.valid(data, kind)
     of = lambda t, c: F.when(kind.isin(*t), c)

@@ -55,17 +55,20 @@ class History:
         return rows if session_id is None else rows.orderBy("time_created", "id")
 
     def parts(self, session_id: str | None = None) -> DataFrame:
-        """Parts with their position: from 0 in each session, over all parts that have a message, by message time and
+        """Parts with their parsed payload, type and position: from 0 in each session, over all parts that have a message, by message time and
         insertion. The session filter is below the window, so one session's rows are all that is read."""
         parts, messages = self.part, self.message
         if session_id is not None:
             parts, messages = parts.where(F.col("session_id") == session_id), messages.where(F.col("session_id") == session_id)
         joined = parts.join(messages.select(F.col("id").alias("message_id"), F.col("time_created").alias("message_time")), "message_id")
         order = Window.partitionBy("session_id").orderBy("message_time", "ord")
-        return joined.select("id", "message_id", "session_id", "time_created", "time_updated", "data", P.type_of(F.col("data")).alias("type"), (F.row_number().over(order) - 1).alias("position"))
+        placed = joined.withColumn("position", F.row_number().over(order) - 1)
+        # Parsed above the window, so that only payloads are shuffled.
+        parsed = placed.withColumn("payload", P.parse(F.col("data")))
+        return parsed.select("id", "message_id", "session_id", "time_created", "time_updated", "data", "payload", P.type_of(F.col("payload")).alias("type"), "position")
 
     def find_part(self, part_id: str) -> Row:
-        rows = self.part.where(F.col("id") == part_id).withColumn("type", P.type_of(F.col("data"))).limit(1).collect()
+        rows = self.part.where(F.col("id") == part_id).withColumn("type", P.type_of(P.parse(F.col("data")))).limit(1).collect()
         if not rows:
             raise NotFound(f"part {part_id} not found")
         return rows[0]
@@ -73,8 +76,8 @@ class History:
     def compaction(self, parts: DataFrame | None = None) -> DataFrame:
         """(session_id, compacted, tail_start_id): whether a session has a valid compaction part, and the last tail named."""
         parts = self.parts() if parts is None else parts
-        marks = parts.where((F.col("type") == "compaction") & P.valid(F.col("data"), F.col("type")))
-        tail = P.field(F.col("data"), "tail_start_id")
+        marks = parts.where((F.col("type") == "compaction") & P.valid(F.col("payload"), F.col("type")))
+        tail = P.field(F.col("payload"), "tail_start_id")
         return marks.groupBy("session_id").agg(F.lit(True).alias("compacted"), F.coalesce(F.max_by(F.when(tail != "", tail), F.when(tail != "", F.col("position"))), F.lit("")).alias("tail_start_id"))
 
     def located(self, sessions: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
 """JSON payloads of messages, sessions and parts.
 
 Types are checked as strictly as a typed decoder does: a field of another type makes the whole part invalid, while a
-missing or null field reads as empty. Keys are case-sensitive.
+missing or null field reads as empty. Keys are case-sensitive. A payload is parsed once, by ``parse``; the other functions of
+parts take the parsed column.
 """
 
 from __future__ import annotations
@@ -24,49 +25,53 @@ OBJECTS = {"tool": ("$.state", "$.state.input")}
 FLAGS = {"compaction": ("$.auto", "$.overflow")}
 
 
-def _kind(data: Column, path: str) -> Column:
+def parse(data: Column) -> Column:
+    """The payload as a variant; null where it is no JSON."""
+    return F.try_parse_json(data)
+
+
+def _kind(parsed: Column, path: str) -> Column:
     """The type of a JSON field; null if it is missing or null."""
-    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(data), path, "variant"))
+    kind = F.schema_of_variant(F.try_variant_get(parsed, path, "variant"))
     return F.when(kind != "VOID", kind)
 
 
-def _text(data: Column, path: str) -> Column:
-    return F.coalesce(F.get_json_object(data, path), F.lit(""))
+def _text(parsed: Column, path: str) -> Column:
+    return F.coalesce(F.try_variant_get(parsed, path, "string"), F.lit(""))
 
 
-def type_of(data: Column) -> Column:
+def type_of(parsed: Column) -> Column:
     """The part's type: empty where the payload is no JSON or names none."""
-    return _text(data, "$.type")
+    return _text(parsed, "$.type")
 
 
-def valid(data: Column, kind: Column) -> Column:
+def valid(parsed: Column, kind: Column) -> Column:
     """Whether the payload decodes as a part of its type; other types always do, if they are JSON."""
-    parsed = F.try_parse_json(data).isNotNull()
-    out = parsed
+    out = parsed.isNotNull()
     for name in TEXT_FIELDS:
-        ok = parsed & F.schema_of_variant(F.try_parse_json(data)).startswith("OBJECT")
+        ok = F.schema_of_variant(parsed).startswith("OBJECT")
         for path in TEXT_FIELDS[name].values():
-            ok = ok & (F.coalesce(_kind(data, path), F.lit("STRING")) == "STRING")
+            ok = ok & (F.coalesce(_kind(parsed, path), F.lit("STRING")) == "STRING")
         for path in OBJECTS.get(name, ()):
-            ok = ok & F.coalesce(_kind(data, path), F.lit("OBJECT")).startswith("OBJECT")
+            ok = ok & F.coalesce(_kind(parsed, path), F.lit("OBJECT")).startswith("OBJECT")
         for path in FLAGS.get(name, ()):
-            ok = ok & (F.coalesce(_kind(data, path), F.lit("BOOLEAN")) == "BOOLEAN")
+            ok = ok & (F.coalesce(_kind(parsed, path), F.lit("BOOLEAN")) == "BOOLEAN")
         if name == "patch":
-            files = F.coalesce(_kind(data, "$.files"), F.lit("ARRAY<VOID>"))
+            files = F.coalesce(_kind(parsed, "$.files"), F.lit("ARRAY<VOID>"))
             ok = ok & files.isin("ARRAY<VOID>", "ARRAY<STRING>")
         out = F.when(kind == name, ok).otherwise(out)
     return F.coalesce(out, F.lit(False))
 
 
-def field(data: Column, name: str) -> Column:
+def field(parsed: Column, name: str) -> Column:
     """A text field by its column name."""
     path = next(fields[name] for fields in TEXT_FIELDS.values() if name in fields)
-    return _text(data, path)
+    return _text(parsed, path)
 
 
-def files(data: Column) -> Column:
+def files(parsed: Column) -> Column:
     """The files of a patch; empty if there are none."""
-    out = F.from_json(F.get_json_object(data, "$.files"), "array<string>")
+    out = F.try_variant_get(parsed, "$.files", "array<string>")
     return F.coalesce(F.transform(out, lambda x: F.coalesce(x, F.lit(""))), F.array().cast("array<string>"))
 
 
