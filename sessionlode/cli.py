@@ -17,7 +17,7 @@ from sessionlode.plans.tools import Tools
 from sessionlode.schemas import NO_PROJECT
 from sessionlode.sources import parts as P
 from sessionlode.sources.config import Config, load
-from sessionlode.sources.embedder import HttpEmbedder
+from sessionlode.sources.embedder import EmbeddingCache, HttpEmbedder
 from sessionlode.sources.history import History
 
 USAGE_ERROR = 2
@@ -65,7 +65,7 @@ def session_lines(history: History, session_id: str, limit: int) -> list[str]:
         f"session:   {s['id']}", f"title:     {s['title']}", f"project:   {path} ({s['project_id']})", f"agent:     {s['agent'] or ''}", f"model:     {info['providerID']}/{info['id']}",
         f"time:      {s['time_created']} .. {s['time_updated']}", f"parts:     {n}", f"compacted: {str(bool(mark)).lower()} (tail={mark[0]['tail_start_id'] if mark else ''})", f"--- dialog (first {limit} parts) ---",
     ]
-    rows = parts.where(F.col("position") < limit).select("position", describe(F.col("data"), F.col("type")).alias("line")).orderBy("position")
+    rows = parts.where(F.col("position") < limit).select("position", describe(F.col("payload"), F.col("type")).alias("line")).orderBy("position")
     lines += [f"[{r['position']}] {r['line']}" for r in rows.collect()]
     return lines + ([f"... {n - limit} more parts"] if n > limit else [])
 
@@ -98,7 +98,7 @@ def main(argv: list[str] | None = None, out=print) -> int:
     elif args.command == "index":
         embedder = _embedder(config)
         index = Index.open(spark, config.index, config.embed_dim, config.embed_model)
-        cache = spark.read.parquet(config.embed_cache) if config.embed_cache else None
+        cache = EmbeddingCache(spark, config.embed_cache) if config.embed_cache else None
         stats = index.run(history, args.project or None, args.limit or None, embedder, not args.no_lexical and config.lexical_index, cache, args.backfill, args.embed_pause)
         out(json.dumps(vars(stats)))
     elif args.command == "serve":

@@ -6,7 +6,6 @@ phrases count repeatedly, occurrences may overlap. Collection statistics cover t
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -73,65 +72,75 @@ def top(scored: DataFrame, ties: list, k: int = CANDIDATES) -> DataFrame:
     return scored.orderBy(F.desc("score"), *ties).limit(k)
 
 
+def grouped(terms: Column) -> Column:
+    """The distinct terms of one text with their positions, by a sort within the row."""
+    placed = F.sort_array(F.transform(terms, lambda t, i: F.struct(t.alias("term"), i.alias("position"))))
+    starts = lambda x: F.filter(F.sequence(F.lit(0), F.size(x) - 1), lambda i: (i == 0) | (F.get(x, i)["term"] != F.get(x, i - 1)["term"]))
+    run = lambda x, s, i, k: F.slice(x, i + 1, F.coalesce(F.get(s, k + 1), F.size(x)) - i)
+    # Lambdas over one-element arrays stand for local names, so that the sort is not repeated.
+    held = F.transform(F.array(placed), lambda x: F.struct(x.alias("x"), F.when(F.size(x) > 0, starts(x)).otherwise(F.array().cast("array<int>")).alias("s")))
+    out = F.transform(held, lambda h: F.transform(h["s"], lambda i, k: F.struct(F.get(h["x"], i)["term"].alias("term"), F.transform(run(h["x"], h["s"], i, k), lambda p: p["position"]).alias("positions"))))
+    return F.get(out, 0)
+
+
 def postings(chunks: DataFrame, text: str, terms: Callable[[Column], Column] = T.terms, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(term, id, *keep, positions): one row per term and chunk."""
-    rows = chunks.select("id", *keep, F.posexplode(terms(F.col(text))).alias("position", "term"))
-    grouped = rows.groupBy("term", "id", *keep).agg(F.sort_array(F.collect_list("position")).alias("positions"))
-    return grouped.select("term", "id", *keep, "positions")
+    """(term, id, *keep, positions): one row per term and chunk. A chunk's row holds all its tokens, so nothing is shuffled."""
+    rows = chunks.select("id", *keep, F.explode(grouped(terms(F.col(text)))).alias("p"))
+    return rows.select("p.term", "id", *keep, "p.positions")
 
 
-def by_term(table: DataFrame) -> DataFrame:
+def by_term(table: DataFrame, *first: str) -> DataFrame:
     """Laid out for reading by term: a query reads few row groups, and a term of many chunks spans several files."""
-    return table.repartitionByRange("term", "id").sortWithinPartitions("term", "id")
+    return table.repartitionByRange(*first, "term", "id").sortWithinPartitions(*first, "term", "id")
 
 
 def _phrase_hits(table: DataFrame, phrase: list[str], name: str) -> DataFrame:
-    """(id, name): occurrences of one phrase. The filter on terms reaches the scan; only listed chunks are shuffled."""
+    """(id, *columns, name): occurrences of one phrase. The filter on terms reaches the scan; only listed chunks are shuffled."""
     rows = table.where(F.col("term").isin(*phrase))
+    columns = [c for c in table.columns if c not in ("term", "id", "positions")]
     if len(phrase) == 1:
-        return rows.select("id", F.size("positions").alias(name))
-    starts = rows.groupBy("id").agg(F.collect_list(F.struct("term", "positions")).alias("lists"))
+        return rows.select("id", *columns, F.size("positions").alias(name))
+    starts = rows.groupBy("id").agg(*[F.any_value(c).alias(c) for c in columns], F.collect_list(F.struct("term", "positions")).alias("lists"))
     at = lambda term: F.element_at(F.filter("lists", lambda x: x["term"] == term)["positions"], 1)
     held = F.transform(at(phrase[0]), lambda p: p)
     for k, term in enumerate(phrase[1:], 1):
         held = F.array_intersect(held, _shifted(at(term), k))
-    return starts.where(F.size("lists") == len(set(phrase))).select("id", F.size(held).alias(name)).where(F.col(name) > 0)
+    return starts.where(F.size("lists") == len(set(phrase))).select("id", *columns, F.size(held).alias(name)).where(F.col(name) > 0)
 
 
 def _shifted(positions: Column, k: int) -> Column:
     return F.transform(positions, lambda p: p - k)
 
 
-def rank_postings(table: DataFrame, lengths: DataFrame, phrases: list[list[str]], n: int, mean: float, every: bool = True, condition: Column | None = None) -> DataFrame:
-    """(id, *columns of lengths, score) from a postings table; ``lengths`` has id and length. n and mean cover the table.
+def rank_postings(table: DataFrame, phrases: list[list[str]], n: int, mean: float, every: bool = True, condition: Column | None = None) -> DataFrame:
+    """(id, *columns, score) from a postings table: rows (term, id, positions, length, *columns), where length and columns are
+    the chunk's. n and mean cover the table.
 
     ``condition`` filters after the scores are fixed and before any cut.
     """
-    if not phrases or not n or (every and any(not p for p in phrases)):
-        return lengths.withColumn("score", F.lit(0.0)).limit(0)
-    hits, dfs, tables = None, [], {}
-    for k, p in enumerate(phrases):
-        key = tuple(p)
-        if key not in tables:
-            tables[key] = (f"tf{k}", _phrase_hits(table, p, f"tf{k}") if p else None)
-    for name, found in tables.values():
-        if found is None:
-            continue
-        hits = found if hits is None else hits.join(found, "id", "inner" if every else "full")
-    if hits is None:
-        return lengths.withColumn("score", F.lit(0.0)).limit(0)
-    for name, found in tables.values():
-        dfs.append(found.agg(F.count("*").alias(name.replace("tf", "df"))) if found is not None else None)
-    rows = hits.join(lengths, "id")
-    for df in dfs:
-        if df is not None:
-            rows = rows.join(F.broadcast(df))  # one row
-    used = [tables[tuple(p)][0] for p in phrases if p]
+    columns = [c for c in table.columns if c not in ("term", "id", "positions", "length")]
+    tables = {tuple(p): _phrase_hits(table, p, f"tf{k}") for k, p in reversed(list(enumerate(phrases))) if p}
+    if not n or not tables or (every and any(not p for p in phrases)):
+        return table.select("id", *columns, F.lit(0.0).alias("score")).limit(0)
+    hits, names = None, {}
+    for key, found in tables.items():
+        names[key] = name = found.columns[-1]
+        if hits is None:
+            hits = found
+        elif every:
+            hits = hits.join(found.select("id", name), "id")
+        else:
+            both = [F.coalesce(F.col(f"l.{c}"), F.col(f"r.{c}")).alias(c) for c in ("length", *columns)]
+            old = [F.col(f"l.{c}") for c in hits.columns if c.startswith("tf")]
+            hits = hits.alias("l").join(found.alias("r"), "id", "full").select("id", *both, *old, F.col(f"r.{name}"))
+    for key, found in tables.items():
+        hits = hits.join(F.broadcast(found.agg(F.count("*").alias(names[key].replace("tf", "df")))))  # one row
+    used = [names[tuple(p)] for p in phrases if p]
     score = bm25([F.coalesce(F.col(t), F.lit(0)) for t in used], [idf(F.lit(float(n)), F.col(t.replace("tf", "df"))) for t in used], F.col("length"), F.lit(float(mean)))
-    rows = rows.withColumn("score", score)
+    rows = hits.withColumn("score", score)
     if condition is not None:
         rows = rows.where(condition)
-    return rows.select(*lengths.columns, "score")
+    return rows.select("id", *columns, "score")
 
 
 def corpus_stats(docs: DataFrame, text: str) -> DataFrame:
@@ -148,7 +157,3 @@ def document_frequencies(docs: DataFrame, text: str) -> DataFrame:
     marked = F.transform("terms", lambda t, i: F.struct(t.alias("term"), F.when(F.coalesce(F.get(F.col("terms"), i - 1) == t, F.lit(False)), 0).otherwise(1).alias("first")))
     return rows.select(F.inline(marked)).groupBy("term").agg(F.sum("first").alias("df"), F.count("*").alias("cf"))
 
-
-def idf_value(n: int, df: int) -> float:
-    x = math.log((n - df + 0.5) / (df + 0.5))
-    return x if x > 0 else LEAST_IDF

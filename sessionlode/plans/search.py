@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +12,7 @@ from sessionlode.functions import text as T
 from sessionlode.functions.stemmer import stem_word
 from sessionlode.operators import fulltext, fusion, vectors
 from sessionlode.plans.index import Index
-from sessionlode.sources.embedder import Embedder, embed_query
+from sessionlode.sources.embedder import Embedder, EmbeddingError, embed_query
 
 DEFAULT_LIMIT, MOST = 20, 50
 COLUMNS = ["session_id", "project_path", "role", "part_type", "tool", "command", "snippet", "position", "time_created"]
@@ -59,7 +60,7 @@ class Searcher:
 
     def _fts(self, name: str, phrases: list[list[str]], query: Query, k: int = fulltext.CANDIDATES) -> DataFrame:
         n, mean = self.index.stats(name)
-        scored = fulltext.rank_postings(self.index.postings(name), self.index.lengths(name), phrases, n, mean, condition=condition(query))
+        scored = fulltext.rank_postings(self.index.postings(name), phrases, n, mean, condition=condition(query))
         return fulltext.top(scored, self._ties, k)
 
     def _vector(self, query: Query) -> DataFrame:
@@ -74,8 +75,7 @@ class Searcher:
         plain = [w for x in words for w in "".join(c if c.isalpha() else " " for c in x).split()]
         for name, terms in (("lex_stem", [stem_word(w) for w in words]), ("lex_simple", plain)):
             n, mean = self.index.stats(name)
-            rows = fulltext.rank_postings(self.index.postings(name), self.index.lengths(name), [[t] for t in terms], n, mean, every=False, condition=condition(query, False))
-            rows = rows.drop("length")
+            rows = fulltext.rank_postings(self.index.postings(name), [[t] for t in terms], n, mean, every=False, condition=condition(query, False))
             found = rows if found is None else found.unionByName(rows)
         keys = [c for c in found.columns if c != "score"]
         return fulltext.top(found.groupBy(*keys).agg(F.sum("score").alias("score")), self._ties, k)
@@ -97,7 +97,7 @@ class Searcher:
                 if name == "bleve" and not self.index.has_lexical():
                     raise SearchError("no second lexical index")
                 rows = [(r["id"], k) for k, r in enumerate(run().select("id", "score").collect(), 1)]  # some dozens at most
-            except Exception as error:
+            except (SearchError, EmbeddingError, OSError, PySparkException) as error:  # what is wrong in the program is not a source's failure
                 notes.append(f"{name}: {str(error).splitlines()[0][:200]}")
                 continue
             out.sources.append(name)

@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BATCH = 64
@@ -116,3 +116,27 @@ def embed_cached(rows: DataFrame, cache: DataFrame | None, embedder: Embedder, p
     fresh = embed_table(misses.select(F.col("key").alias("id"), "text"), embedder, pause_s=pause_s).withColumnRenamed("id", "key")
     every = fresh if cache is None else known.select("key", "embedding").unionByName(fresh)
     return keyed.join(every, "key").select("id", "embedding"), fresh
+
+
+class EmbeddingCache:
+    """A table of (key, embedding) under a path; one for each model, as the key does not name it.
+
+    New vectors are appended before they are used, so what was embedded once is never embedded again, even if the run that
+    needed it dies. Entries of one key are equal; the first read counts.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def entries(self) -> DataFrame:
+        schema = "key string, embedding array<float>"
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(self.path).dropDuplicates(["key"])
+
+    def embedded(self, rows: DataFrame, embedder: Embedder, pause_s: float = 0.0) -> DataFrame:
+        """(id, embedding) of the rows (id, text); what was missing is in the cache afterwards."""
+        embed_cached(rows, self.entries(), embedder, pause_s)[1].write.mode("append").parquet(self.path)
+        keyed = rows.select("id", cache_key(F.col("text")).alias("key"))
+        return keyed.join(self.entries().where(F.size("embedding") == embedder.dim), "key").select("id", "embedding")

@@ -9,8 +9,9 @@ from test_engine import DEMO, Fixed, history
 
 from sessionlode import __version__, cli, schemas
 from sessionlode.operators.chunking import describe
-from sessionlode.plans.index import Index, replace_sessions, upsert
+from sessionlode.plans.index import Index
 from sessionlode.sources.history import from_conversations
+from sessionlode.sources.parts import parse
 from sessionlode.streaming.sync import sync_stream
 
 cloudpickle.register_pickle_by_value(sys.modules["test_engine"])
@@ -40,11 +41,11 @@ def test_listings_and_index(saved):
     said = []
     assert cli.main(["sessions"], said.append) == 0
     assert said[0].splitlines()[:5] == ["sessions:  1", "messages:  2", "parts:     4", "projects:  1", "compacted: 1"]
-    assert "/work/demo" in said[0].splitlines()[-1] and "[100]" in said[0]
+    assert "/srv/garden" in said[0].splitlines()[-1] and "[100]" in said[0]
     assert cli.main(["session", "s1", "--dialog-limit", "3"], said.append) == 0
     lines = said[1].splitlines()
     assert "compacted: true (tail=m1)" in lines and lines[-1] == "... 1 more parts"
-    assert lines[-2] == "[2] tool bash: redis-cli info -> cluster_state:fail"
+    assert lines[-2] == "[2] tool shell: valvectl list -> seven: open"
     assert cli.main(["index", "--project", "/elsewhere"], said.append) == 0 and json.loads(said[-1])["indexed"] == 0
     assert cli.main(["index"], said.append) == 0 and json.loads(said[-1])["indexed"] == 1
 
@@ -53,17 +54,10 @@ def test_descriptions(spark):
     from pyspark.sql import functions as F
 
     rows = [("text", '{"type":"text","text":"' + "x" * 120 + '"}'), ("tool", "broken"), ("patch", '{"type":"patch","files":["a","b"]}'), ("step-start", "{}"), ("compaction", '{"tail_start_id":"t"}')]
-    got = [r[0] for r in spark.createDataFrame(rows, "k string, d string").select(describe(F.col("d"), F.col("k"))).collect()]
+    got = [r[0] for r in spark.createDataFrame(rows, "k string, d string").select(describe(parse(F.col("d")), F.col("k"))).collect()]
     assert got == ["text: " + "x" * 100 + "...", "tool (parse error)", "patch 2 files: a, b", "step-start", "compaction (tail=t)"]
 
 
-def test_replace_and_upsert(spark):
-    old = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1)], "session_id string, n int")
-    new = spark.createDataFrame([("a", 9)], "session_id string, n int")
-    assert sorted(map(tuple, replace_sessions(old, new).collect())) == [("a", 9), ("b", 1)]
-    assert sorted(map(tuple, upsert(old, spark.createDataFrame([("b", 1), ("c", 1)], old.schema), ["session_id", "n"]).collect())) == [("a", 1), ("a", 2), ("b", 1), ("c", 1)]
-
-
 def test_conversations_as_history(spark):
     c = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", "yo"), (2, 0, "user", "x")], "conv_id long, turn long, role string, text string")
     h = from_conversations(c)
