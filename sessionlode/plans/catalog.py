@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionlode.functions import text as T
 from sessionlode.functions.stemmer import stem_text, stem_word
 from sessionlode.operators import chunking, fulltext, fusion, vectors, windows
-from sessionlode.plans.index import replace_sessions, upsert
+from sessionlode.plans import engine_queries  # noqa: F401  (registers its queries)
+from sessionlode.plans.registry import Q, SQL, query, table
 from sessionlode.sources import parts as P
 from sessionlode.sources import tables
 from sessionlode.sources.embedder import cache_key
@@ -22,35 +23,11 @@ SESSION, POSITION, BEFORE, AFTER = "7", 2, 5, 10
 K = 50
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def texts(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """For plans that do much with each text: small tables are spread over the cores."""
     return tables.read(spark, f"{sf_dir}/{name}.parquet", list(columns))
 
 
-def millis(ts: Column) -> Column:
-    """Milliseconds of a local timestamp since 1970, whatever the session's time zone."""
-    day = F.datediff(F.to_date(ts), F.lit("1970-01-01")).cast("long")
-    return day * 86_400_000 + F.hour(ts) * 3_600_000 + F.minute(ts) * 60_000 + F.floor(F.extract(F.lit("SECOND"), ts) * 1000).cast("long")
-
-
-Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        Q[f.__name__] = f
-        if sql is not None:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 # Chunking.
 
 _TRIM = r"regexp_replace(regexp_replace(text, '^[\s\x0b\p{Z}\x{85}]+', ''), '[\s\x0b\p{Z}\x{85}]+$', '')"
@@ -94,7 +71,7 @@ def parse_json_part(spark, sf):
     """Decoding of JSON payloads, and the type of a part from its payload."""
     rows = table(spark, sf, "events")
     payload = F.to_json(F.struct(F.col("event_type").alias("type")))
-    return rows.select("event_id", F.get_json_object("props", "$.k").alias("k"), P.valid(F.col("props"), F.lit("other")).alias("valid"), payload.alias("payload"), P.type_of(payload).alias("kind"))
+    return rows.select("event_id", F.get_json_object("props", "$.k").alias("k"), P.valid(P.parse(F.col("props")), F.lit("other")).alias("valid"), payload.alias("payload"), P.type_of(P.parse(payload)).alias("kind"))
 
 
 # Coordinates.
@@ -145,16 +122,6 @@ def session_list_newest(spark, sf):
     return h.located(h.sessions()).select("id", "title", "project_path", "time_updated").orderBy(F.desc("time_updated"), "id").limit(20)
 
 
-@query("""
-SELECT count(DISTINCT conv_id) AS sessions, count(*) AS messages, count(*) AS parts, 1::BIGINT AS projects, count(DISTINCT conv_id) FILTER (role = 'system') AS compacted FROM conversations""")
-def summary(spark, sf):
-    """Totals over the whole history; sessions with a system turn stand for compacted ones."""
-    h = from_conversations(table(spark, sf, "conversations"))
-    count = lambda df, c: df.agg(F.count("*").alias(c))
-    marks = h.messages().where("role = 'system'").agg(F.count_distinct("session_id").alias("compacted"))
-    return count(h.session, "sessions").join(count(h.messages(), "messages")).join(count(h.parts(), "parts")).join(count(h.project, "projects")).join(marks)
-
-
 @query("""
 SELECT conv_id::VARCHAR AS session_id, bool_or(role = 'system') AS compacted, coalesce(arg_max(conv_id || ':' || turn, turn) FILTER (role = 'system'), '') AS tail_start_id
 FROM conversations GROUP BY conv_id HAVING bool_or(role = 'system')""")
@@ -172,7 +139,7 @@ def compaction_flag(spark, sf):
 def describe_parts(spark, sf):
     """One line per part, as listings show them."""
     h = from_conversations(table(spark, sf, "conversations"))
-    return h.part.select(F.col("message_id").alias("id"), chunking.describe(F.col("data"), P.type_of(F.col("data"))).alias("line"))
+    return h.part.withColumn("payload", P.parse(F.col("data"))).select(F.col("message_id").alias("id"), chunking.describe(F.col("payload"), P.type_of(F.col("payload"))).alias("line"))
 
 
 # Full text. Folding in SQL: lower case, then the same letters.
@@ -293,29 +260,6 @@ def knn_filtered(spark, sf):
     return vectors.knn_filtered(table(spark, sf, "embeddings"), _PROBE, ["vec_id"], F.col("label") == 3).select("vec_id", F.round("distance", 9).alias("distance"))
 
 
-def _list(n: int, sql: str) -> str:
-    return f"l{n} AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM ({sql}))"
-
-
-_FUSED = f"""
-WITH {_list(0, _bm25_sql(T.phrases(ONE)))}, {_list(1, _bm25_sql(T.phrases(AND2)))},
-l2 AS (WITH {_NEAR} SELECT vec_id AS doc_id, row_number() OVER (ORDER BY d, vec_id) AS rank FROM near ORDER BY d, vec_id LIMIT 50),
-u AS (SELECT * FROM l0 UNION ALL SELECT * FROM l1 UNION ALL SELECT * FROM l2)
-SELECT doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM u GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 20"""
-
-
-@query(_FUSED)
-def hybrid(spark, sf):
-    """Two full-text lists and one vector list, fused by rank."""
-    lists = [
-        fusion.ranked(_fts(spark, sf, ONE).select("doc_id", F.round("score", 9).alias("score")), [F.desc("score"), "doc_id"], 0).select("doc_id", "rank", "source"),
-        fusion.ranked(_fts(spark, sf, AND2).select("doc_id", F.round("score", 9).alias("score")), [F.desc("score"), "doc_id"], 1).select("doc_id", "rank", "source"),
-        fusion.ranked(vectors.knn(table(spark, sf, "embeddings"), _PROBE, ["vec_id"]).select(F.col("vec_id").alias("doc_id"), "distance"), ["distance", "doc_id"], 2).select("doc_id", "rank", "source"),
-    ]
-    merged = fusion.merge(lists, "doc_id", [], 1_000)
-    return merged.select("doc_id", F.round("score", 9).alias("score")).orderBy(F.desc("score"), "doc_id").limit(20)
-
-
 @query("""
 WITH u AS (SELECT doc_id AS id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank FROM documents QUALIFY rank <= 50
   UNION ALL SELECT doc_id AS id, row_number() OVER (ORDER BY quality DESC, toxic DESC, doc_id) AS rank FROM labels QUALIFY rank <= 50)
@@ -329,80 +273,6 @@ def rrf_merge(spark, sf):
     return merged.select("id", F.round("score", 9).alias("score")).orderBy(F.desc("score"), "id").limit(50)
 
 
-# Sync. Users stand for sessions; their sign-ups and views are what is indexed already, and a session whose last event is an
-# error has failed.
-
-_STATE = """
-st AS (SELECT user_id, max(epoch_us(ts) // 1000) FILTER (event_type IN ('signup', 'view')) AS last,
-  CASE WHEN arg_max(event_type, ts) = 'error' THEN 'error' ELSE 'indexed' END AS status FROM events GROUP BY user_id HAVING last IS NOT NULL),
-se AS (SELECT user_id, max(epoch_us(ts) // 1000) AS updated FROM events GROUP BY user_id)"""
-
-
-@query(f"WITH {_STATE} SELECT se.user_id, updated::BIGINT AS time_updated FROM se LEFT JOIN st USING (user_id) WHERE status IS NULL OR status = 'error' OR updated > last")
-def needs_indexing(spark, sf):
-    """Sessions without a state, with an error, or updated since."""
-    events = table(spark, sf, "events")
-    ms = millis(F.col("ts"))
-    seen = F.max(F.when(F.col("event_type").isin("signup", "view"), ms))
-    failed = F.max_by("event_type", "ts") == "error"
-    state = events.groupBy("user_id").agg(seen.alias("last"), F.when(failed, "error").otherwise("indexed").alias("status")).where("last is not null")
-    rows = events.groupBy("user_id").agg(F.max(ms).alias("time_updated")).join(state, "user_id", "left")
-    return rows.where(F.col("status").isNull() | (F.col("status") == "error") | (F.col("time_updated") > F.col("last"))).select("user_id", "time_updated")
-
-
-@query("SELECT doc_id FROM documents LEFT JOIN embeddings ON doc_id = vec_id WHERE vec_id IS NULL AND text IS NOT NULL AND text <> ''")
-def pending_vectors(spark, sf):
-    """Chunks that should have a vector and have none."""
-    docs = table(spark, sf, "documents").where(F.col("text").isNotNull() & (F.col("text") != "")).select("doc_id")
-    return docs.join(table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id", "left_anti")
-
-
-@query("""
-SELECT (SELECT count(*) FROM documents) AS chunks, (SELECT count(DISTINCT source) FROM documents) AS sessions, (SELECT count(*) FROM embeddings) AS vectors,
-  (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)) AS pending, (SELECT coalesce(max(epoch_us(ts) // 1000), 0)::BIGINT FROM events) AS last_sync""")
-def status_counts(spark, sf):
-    docs, vecs = table(spark, sf, "documents"), table(spark, sf, "embeddings")
-    pending = docs.join(vecs.select(F.col("vec_id").alias("doc_id")), "doc_id", "left_anti").agg(F.count("*").alias("pending"))
-    last = table(spark, sf, "events").agg(F.coalesce(F.max(millis(F.col("ts"))), F.lit(0).cast("long")).alias("last_sync"))
-    return docs.agg(F.count("*").alias("chunks"), F.count_distinct("source").alias("sessions")).join(vecs.agg(F.count("*").alias("vectors"))).join(pending).join(last)
-
-
-@query("""
-WITH new AS (SELECT c.conv_id, c.turn, upper(c.role) AS role, length(c.text)::INT AS n FROM conversations c JOIN (SELECT DISTINCT conv_id FROM conversations WHERE role = 'system') USING (conv_id) WHERE c.role <> 'system')
-SELECT * FROM new UNION ALL SELECT conv_id, turn, role, length(text)::INT AS n FROM conversations WHERE conv_id NOT IN (SELECT conv_id FROM new)""")
-def replace_session(spark, sf):
-    """Sessions with a system turn come anew without it; their new rows replace all old ones."""
-    c = table(spark, sf, "conversations").select("conv_id", "turn", "role", F.length("text").alias("n"))
-    marked = c.where("role = 'system'").select("conv_id").distinct()
-    new = c.where("role <> 'system'").join(marked, "conv_id", "left_semi").withColumn("role", F.upper("role"))
-    return replace_sessions(c, new, "conv_id")
-
-
-@query("""
-WITH new AS (SELECT doc_id, 'labelled' AS source, quality::BIGINT AS n_chars FROM labels)
-SELECT * FROM new UNION ALL SELECT doc_id, source, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM new)""")
-def upsert_rows(spark, sf):
-    """Rows of equal keys are replaced, others added."""
-    docs = table(spark, sf, "documents").select("doc_id", "source", "n_chars")
-    new = table(spark, sf, "labels").select("doc_id", F.lit("labelled").alias("source"), F.col("quality").cast("long").alias("n_chars"))
-    return upsert(docs, new, ["doc_id"])
-
-
-@query("SELECT n.n_nationkey AS id, n_name AS title, CASE WHEN r_name IS NULL OR r_name = '' THEN '(global)' ELSE r_name END AS project_path FROM nation n LEFT JOIN region ON n_regionkey = r_regionkey AND r_regionkey <> 2")
-def project_paths(spark, sf):
-    """Lookup with a default for what has no project."""
-    region = table(spark, sf, "region").where("r_regionkey <> 2")
-    rows = table(spark, sf, "nation").join(region, F.col("n_regionkey") == F.col("r_regionkey"), "left")
-    return rows.select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("title"), F.when(F.coalesce("r_name", F.lit("")) == "", "(global)").otherwise(F.col("r_name")).alias("project_path"))
-
-
-@query("SELECT user_id, count(*) AS events, max(event_type) FILTER (rn = 1) AS last_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) GROUP BY user_id")
-def latest_per_session(spark, sf):
-    """The newest row of each session, with its count."""
-    latest = F.max_by("event_type", F.struct("ts", "event_id"))
-    return table(spark, sf, "events").groupBy("user_id").agg(F.count("*").alias("events"), latest.alias("last_type"))
-
-
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Full-text search over the documents, with snippets of the hits."""
     hits = F.broadcast(_fts(spark, sf_dir, ONE).select("doc_id", "score"))  # 50 rows at most
