@@ -9,10 +9,12 @@ only propose candidates; labelers vote on each of them:
 
 Expectation-maximisation estimates for each kind how reliable each labeler is, from counts of vote patterns alone, and so
 the probability that a candidate is personal. These probabilities are soft labels for the final classifier, naive Bayes
-over the votes and the span's shape (length, share of digits); what it accepts is added to the spans.
+over the votes and features of the span that no labeler sees: length, share of digits, classes of characters, the signs on
+either side, and how varied its characters are. What it accepts is added to the spans, whatever the single votes were.
 
-Native: SQL functions over arrays find, vote and accept; one grouped count feeds the estimation. Votes and shapes take a
-few values each, so the counted table has a fixed bound, whatever the size of the corpus; only that reaches the driver.
+Native: SQL functions over arrays find, vote and accept; one grouped count feeds the estimation. Votes and features take a
+few values each, so the counted table has a fixed bound (``MOST_PATTERNS`` a kind), whatever the size of the corpus; only that
+reaches the driver.
 """
 
 from __future__ import annotations
@@ -37,13 +39,16 @@ BASE = {
 NEEDS = {"email": "@", "ip": r"\.", "card": "[0-9]", "phone": r"\+", "ssn": "[0-9]", "tel": "[0-9]"}
 #: Candidates of further kinds.
 PROPOSED = {
-    "name": r"(?<![\p{L}\p{N}])(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Mme|Mlle|Sr|Sra)\.? \p{Lu}[\p{L}'’-]{1,30}(?: \p{Lu}[\p{L}'’-]{1,30})?",
+    "name": r"(?<![\p{L}\p{N}])(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Mme|Mlle|Sr|Sra)\.? \p{Lu}[\p{L}'’-]++(?: \p{Lu}[\p{L}'’-]++)?",
     "secret": r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "tel": r"(?<![0-9+.() -])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9-])",
 }
 KINDS = (*BASE, *PROPOSED)
+#: Code points before a span in which words may announce it.
 CONTEXT_CHARS = 32
+#: Values of votes and features of one kind: 3 votes of 3, length 4, digits 4, classes 8, signs before 5 and after 4, variety 3.
+MOST_PATTERNS = 3**3 * 4 * 4 * 8 * 5 * 4 * 3
 #: Words before a span that announce its kind, and words that announce something else.
 ANNOUNCE = {
     "name": r"(?:name|contact|from|signed|author|patient|dear|by)\P{L}*$",
@@ -70,8 +75,12 @@ LOOSE = {
     "tel": r"^\(?[01]",
 }
 KNOWN = {
-    "name": r"(?i) (?:anna|david|elena|emma|hans|james|jean|john|jose|juan|julia|karl|laura|luis|maria|marie|martin|mary|michael|paul|peter|pierre|robert|sophie|thomas|william)\b",
-    "secret": r"^(?:AKIA|ASIA|gh[pousr]_|xox[abprs]-|sk-|AIza)",
+    "name": (
+        r"(?i) (?:ahmed|alexander|ali|ana|andrea|andrew|anna|antonio|carlos|carmen|charles|chen|christine|claire|daniel|david|elena|elizabeth|emma|eva|fatima|francois|george|giulia|hans|ivan|"
+        r"james|jan|jean|jennifer|johann|john|jose|juan|julia|karen|karl|kim|laura|lee|linda|luis|manuel|maria|marie|mark|martin|mary|michael|mohammed|nina|olga|patricia|paul|peter|pierre|"
+        r"priya|richard|robert|sara|sarah|sofia|sophie|stefan|susan|thomas|wang|wei|william|yuki)\b"
+    ),
+    "secret": r"^(?:AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|xox[abprs]-|sk-|sk_live_|rk_live_|AIza|ya29|eyJ)",
     "ssn": r"^(?:[0-6][0-9]{2}|7[0-6][0-9])-",
     "tel": r"^\(?(?:2(?:0[1-9]|1[0-9])|3(?:0[1-9]|1[0-9])|4(?:0[1-9]|1[0-9])|5(?:0[1-9]|1[0-9])|6(?:0[1-9]|1[0-9])|7(?:0[1-9]|1[0-9])|8(?:0[1-9]|1[0-9])|9(?:0[1-9]|1[0-9]))",
 }
@@ -136,18 +145,24 @@ def _vote(right: Column, wrong: Column) -> Column:
     return F.when(right & ~wrong, F.lit("+")).when(wrong & ~right, F.lit("-")).otherwise(F.lit("0"))
 
 
-def _pattern(kind: str, m: Column, before: Column) -> Column:
-    """What a candidate looks like: its votes, in the order of VOTERS, and its shape."""
+def _pattern(kind: str, m: Column, before: Column, after: Column) -> Column:
+    """What a candidate looks like: its votes, in the order of VOTERS, and its features, one sign each."""
     votes = (
         _vote(m.rlike(STRICT[kind]), m.rlike(LOOSE[kind])),
         _vote(m.rlike(KNOWN[kind]), m.rlike(PLACEHOLDER[kind])),
         _vote(before.rlike(ANNOUNCE[kind]), before.rlike(DENY[kind])),
     )
-    shape = F.concat(
+    classes = F.when(m.rlike(r"\p{Ll}"), 1).otherwise(0) + F.when(m.rlike(r"\p{Lu}"), 2).otherwise(0) + F.when(m.rlike(r"[^\p{L}0-9]"), 4).otherwise(0)
+    various = F.size(F.array_distinct(F.split(m, ""))) / F.length(m)
+    features = (
         F.when(F.length(m) < 12, "s").when(F.length(m) < 24, "m").when(F.length(m) < 48, "l").otherwise("x"),
         F.least(F.floor(4 * F.length(_digits(m)) / F.length(m)), F.lit(3)).cast("string"),
+        classes.cast("string"),
+        F.when(before == "", "n").when(before.rlike(r"[\t-\r ]$"), "s").when(before.rlike("[\"'`]$"), "q").when(before.rlike("[=:]$"), "e").otherwise("o"),
+        F.when(after == "", "n").when(after.rlike(r"[\t-\r ]"), "s").when(after.rlike("[\"'`.,;:!?)]"), "p").otherwise("o"),
+        F.when(various < 0.25, "0").when(various < 0.5, "1").otherwise("2"),
     )
-    return F.concat(F.lit(f"{kind}:"), *votes, F.lit(":"), shape)
+    return F.concat(F.lit(f"{kind}:"), *votes, F.lit(":"), *features)
 
 
 def _validator(kind: str):
@@ -157,13 +172,14 @@ def _validator(kind: str):
 def _voter(kind: str, whole: Column):
     def of(s: Column) -> Column:
         before = F.lower(F.substring(whole, F.greatest(s["start"] - CONTEXT_CHARS + 1, F.lit(1)), F.least(s["start"], F.lit(CONTEXT_CHARS))))
-        return F.struct(s["start"].alias("start"), s["end"].alias("end"), _pattern(kind, s["match"], before).alias("pattern"))
+        after = F.substring(whole, s["end"] + 1, F.lit(1))
+        return F.struct(s["start"].alias("start"), s["end"].alias("end"), _pattern(kind, s["match"], before, after).alias("pattern"))
 
     return of
 
 
-def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, the valid base spans by kind, and the candidates of further kinds with their patterns."""
+def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep_text: bool = False) -> DataFrame:
+    """doc_id, the valid base spans by kind, and the candidates of further kinds with their patterns; the text if asked for."""
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     whole = F.col("text")
     for kind, pattern in BASE.items():
@@ -175,7 +191,7 @@ def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
         rows = _found(rows, kind, whole, pattern)
         apart = F.filter(kind, lambda s: ~F.exists("base", lambda b: (s["start"] < b["end"]) & (b["start"] < s["end"])))
         rows = rows.withColumn(kind, F.transform(apart, _voter(kind, whole)))
-    return rows.drop("text", "base")
+    return rows.drop("base") if keep_text else rows.drop("text", "base")
 
 
 def estimate(counts: dict[str, int]) -> tuple[dict[str, float], dict[str, list[tuple[float, float]]]]:
@@ -185,41 +201,42 @@ def estimate(counts: dict[str, int]) -> tuple[dict[str, float], dict[str, list[t
     A labeler that abstains says nothing. The first guess is the majority vote; pseudo-counts keep a labeler that rarely
     speaks near its prior.
     """
-    kinds: dict[str, list[tuple[str, str, int]]] = defaultdict(list)
+    kinds: dict[str, dict[str, int]] = defaultdict(lambda: defaultdict(int))
     for pattern, n in counts.items():
         kind, votes, _ = pattern.split(":")
-        kinds[kind].append((pattern, votes, n))
+        kinds[kind][votes] += n
     belief, trust = {}, {}
     for kind, rows in kinds.items():
-        p = {x: min(0.95, max(0.05, 0.5 + 0.3 * (v.count("+") - v.count("-")) - 0.1 * (v == "0" * len(v)))) for x, v, _ in rows}
+        silent = "0" * len(VOTERS)
+        p = {v: min(0.95, max(0.05, 0.5 + 0.3 * (v.count("+") - v.count("-")) - 0.1 * (v == silent))) for v in rows}
         for _ in range(ROUNDS):
             right = []
             for j in range(len(VOTERS)):
-                yes = [(p[x], v[j], n) for x, v, n in rows if v[j] != "0"]
-                hit, spoke = sum(q * n for q, v, n in yes if v == "+"), sum(q * n for q, _, n in yes)
-                deny, silent = sum((1 - q) * n for q, v, n in yes if v == "-"), sum((1 - q) * n for q, _, n in yes)
-                right.append(((hit + RIGHT) / (spoke + RIGHT + WRONG), (deny + RIGHT) / (silent + RIGHT + WRONG)))
-            spoken = [(x, v, n) for x, v, n in rows if v != "0" * len(v)]
-            share = (sum(p[x] * n for x, _, n in spoken) + PRIOR[0]) / (sum(n for *_, n in spoken) + sum(PRIOR))
-            for x, v, _ in rows:
-                odds = math.log(share / (1 - share)) if v != "0" * len(v) else math.log(1e-3)
+                spoke = [(p[v], v[j], n) for v, n in rows.items() if v[j] != "0"]
+                hit, personal = sum(q * n for q, c, n in spoke if c == "+"), sum(q * n for q, _, n in spoke)
+                deny, other = sum((1 - q) * n for q, c, n in spoke if c == "-"), sum((1 - q) * n for q, _, n in spoke)
+                right.append(((hit + RIGHT) / (personal + RIGHT + WRONG), (deny + RIGHT) / (other + RIGHT + WRONG)))
+            spoken = {v: n for v, n in rows.items() if v != silent}
+            share = (sum(p[v] * n for v, n in spoken.items()) + PRIOR[0]) / (sum(spoken.values()) + sum(PRIOR))
+            for v in rows:
+                odds = math.log(share / (1 - share)) if v != silent else math.log(1e-3)
                 for (s, t), c in zip(right, v, strict=True):
                     odds += math.log(s / (1 - t)) if c == "+" else math.log((1 - s) / t) if c == "-" else 0.0
-                p[x] = 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
-        belief |= p
-        trust[kind] = right
-    return belief, trust
+                p[v] = 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
+        belief[kind], trust[kind] = p, right
+    by_kind = lambda x: x.split(":")
+    return {x: belief[by_kind(x)[0]][by_kind(x)[1]] for x in counts}, trust
 
 
 def train(counts: dict[str, int], belief: dict[str, float]) -> dict[str, float]:
-    """The final classifier: for each pattern the log odds of naive Bayes over votes and shape, fitted to soft labels."""
+    """The final classifier: for each pattern the log odds of naive Bayes over votes and features, fitted to soft labels."""
     mass: dict[tuple, list[float]] = defaultdict(lambda: [0.0, 0.0])
     total: dict[str, list[float]] = defaultdict(lambda: [0.0, 0.0])
     values: dict[tuple, set] = defaultdict(set)
 
     def features(pattern: str):
-        kind, votes, shape = pattern.split(":")
-        return kind, [*enumerate(votes), ("length", shape[0]), ("digits", shape[1])]
+        kind, votes, more = pattern.split(":")
+        return kind, list(enumerate(votes + more))
 
     for pattern, n in counts.items():
         kind, found = features(pattern)
@@ -240,29 +257,37 @@ def train(counts: dict[str, int], belief: dict[str, float]) -> dict[str, float]:
     return out
 
 
-def detect(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, and found, an array of
-    (kind, start, end). Offsets are code points, ends are exclusive.
-
-    Null and empty texts have no spans. Repeated rows have equal results. Other columns are not looked at.
-    """
-    scratch = Scratch(docs.sparkSession, "pii")
-    table = scratch.table(spans(docs, doc_id, text), "spans", wide=True)
+def _accept(table: DataFrame) -> DataFrame:
+    """``table`` of spans with base and found, arrays of (kind, start, end): the base spans, and with those accepted."""
     patterns = table.select(F.explode(F.concat(*[F.col(k) for k in PROPOSED])).alias("s")).groupBy(F.col("s.pattern").alias("pattern")).count()
-    counts = {r["pattern"]: r["count"] for r in patterns.collect()}  # no more rows than votes and shapes have values
+    counts = {r["pattern"]: r["count"] for r in patterns.collect()}  # MOST_PATTERNS a kind at most
     belief, _ = estimate(counts)
     odds = train(counts, belief)
-    accepted = sorted(x for x in counts if odds[x] > 0 and "+" in x.split(":")[1])
+    accepted = sorted(x for x in counts if odds[x] > 0)
     label = lambda kind: lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"))
     more = [F.transform(F.filter(kind, lambda s: s["pattern"].isin(accepted)) if accepted else F.slice(kind, 1, 0), label(kind)) for kind in PROPOSED]
     base = F.concat(*[F.transform(kind, label(kind)) for kind in BASE])
+    return table.withColumn("base", base).withColumn("found", F.concat("base", *more))
+
+
+def detect(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_found (all spans), and found,
+    an array of (kind, start, end). Offsets are code points, ends are exclusive.
+
+    Whole texts are searched, however long. Null and empty texts have no spans. Repeated rows have equal results; an empty
+    table gives an empty result. Other columns, whatever their names, are not looked at.
+    """
+    rows = _accept(Scratch(docs.sparkSession, "pii").table(spans(docs, doc_id, text), "spans", wide=True))
     joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
-    rows = table.withColumn("base", base).withColumn("found", F.concat("base", *more))
-    return rows.select("doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in BASE], F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"), "found")
+    return rows.select(
+        "doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in BASE], F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"),
+        F.size("found").cast("long").alias("n_found"), "found",
+    )
 
 
 def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, kind, start, end, match): the found spans as rows, with what they cover."""
-    found = detect(docs, doc_id, text).select(F.col("doc_id"), F.explode("found").alias("s"))
-    rows = found.join(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), "doc_id")
-    return rows.select("doc_id", "s.kind", "s.start", "s.end", F.expr("substring(text, s.start + 1, s.end - s.start)").alias("match"))
+    """(doc_id, kind, start, end, match): the found spans as rows, with what they cover. A row of ``docs`` gives its own spans,
+    so rows without a doc_id keep theirs, and repeated rows repeat theirs."""
+    rows = _accept(Scratch(docs.sparkSession, "pii").table(spans(docs, doc_id, text, keep_text=True), "spans", wide=True))
+    rows = rows.select("doc_id", "text", F.explode("found").alias("s"))
+    return rows.select("doc_id", "s.kind", "s.start", "s.end", F.substring(F.col("text"), F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("match"))
