@@ -1,4 +1,4 @@
-"""Command line: index, sessions, session, search, read, status, version, help."""
+"""Command line: index, sessions, session, serve, version, help."""
 
 from __future__ import annotations
 
@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from sessionlode import __version__
 from sessionlode.operators.chunking import describe
 from sessionlode.plans.index import Index
+from sessionlode.plans.progress import Progress
 from sessionlode.plans.search import Searcher
+from sessionlode.plans.server import answer
 from sessionlode.plans.tools import Tools
 from sessionlode.schemas import NO_PROJECT
 from sessionlode.sources import parts as P
@@ -31,12 +33,13 @@ def _parser() -> argparse.ArgumentParser:
     index.add_argument("--limit", type=int, default=0)
     index.add_argument("--embed-pause", type=float, default=0.0, help="seconds between an executor's calls")
     index.add_argument("--no-lexical", action="store_true", help="leave the second lexical index out")
+    index.add_argument("--quiet", action="store_true", help="no progress on standard error")
     index.add_argument("--backfill", action="store_true", help="embed what is pending")
     commands.add_parser("sessions", help="totals and the newest sessions")
     session = commands.add_parser("session", help="one session's parts")
     session.add_argument("id")
     session.add_argument("--dialog-limit", type=int, default=40)
-    serve = commands.add_parser("serve", help="answer tool calls, one JSON object {tool, args} a line")
+    serve = commands.add_parser("serve", help="answer tool calls: JSON-RPC messages, or plain objects {tool, args}, one a line")
     serve.add_argument("--no-lexical", action="store_true")
     commands.add_parser("version", aliases=["--version", "-v"])
     commands.add_parser("help")
@@ -99,7 +102,7 @@ def main(argv: list[str] | None = None, out=print) -> int:
         embedder = _embedder(config)
         index = Index.open(spark, config.index, config.embed_dim, config.embed_model)
         cache = EmbeddingCache(spark, config.embed_cache) if config.embed_cache else None
-        stats = index.run(history, args.project or None, args.limit or None, embedder, not args.no_lexical and config.lexical_index, cache, args.backfill, args.embed_pause)
+        stats = index.run(history, args.project or None, args.limit or None, embedder, not args.no_lexical and config.lexical_index, cache, args.backfill, args.embed_pause, None if args.quiet else Progress(spark))
         out(json.dumps(vars(stats)))
     elif args.command == "serve":
         index = Index.open(spark, config.index, config.embed_dim, config.embed_model)
@@ -107,6 +110,10 @@ def main(argv: list[str] | None = None, out=print) -> int:
         for line in sys.stdin:
             try:
                 request = json.loads(line)
+                if "jsonrpc" in request:
+                    if (reply := answer(tools, line)) is not None:
+                        out(reply)
+                    continue
                 out(tools.call(request.get("tool", ""), request.get("args") or {}))
             except (ValueError, LookupError) as error:
                 out(json.dumps({"error": str(error)}))

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from sessionlode import schemas
 from sessionlode.functions import text as T
 from sessionlode.operators import chunking, fulltext
+from sessionlode.plans.progress import Progress
 from sessionlode.sources.embedder import Embedder, EmbeddingCache, embed_cached
 from sessionlode.sources.history import History
 
@@ -196,7 +198,7 @@ class Index:
         rows = sessions.join(state, "id", "left")
         return rows.where(F.col("status").isNull() | (F.col("status") == "error") | (F.col("time_updated") > F.col("last_time_updated"))).drop("status", "last_time_updated")
 
-    def run(self, history: History, project: str | None = None, limit: int | None = None, embedder: Embedder | None = None, lexical: bool = True, cache: EmbeddingCache | None = None, backfill: bool = False, pause_s: float = 0.0) -> Stats:
+    def run(self, history: History, project: str | None = None, limit: int | None = None, embedder: Embedder | None = None, lexical: bool = True, cache: EmbeddingCache | None = None, backfill: bool = False, pause_s: float = 0.0, progress: Progress | None = None) -> Stats:
         """Brings the index up to date: one set-based job over all sessions that need it, newest first up to ``limit``.
 
         A session that yields no chunks any more loses its old ones. If embedding fails, rows are written without vectors
@@ -213,21 +215,32 @@ class Index:
         if limit is not None and limit > 0:
             todo = todo.orderBy(F.desc("time_updated"), "id").limit(limit)
         stats.skipped = stats.sessions - waiting
-        if waiting:
-            self._index(history, todo, stats, embedder, lexical, cache, pause_s)
-        if backfill and embedder is not None:
-            stats.backfilled = self.backfill(embedder, cache=cache)
+        if progress is not None:
+            progress.start(stats.sessions, waiting)
+        step = progress.step if progress is not None else lambda name: None
+        try:
+            if waiting:
+                self._index(history, todo, stats, embedder, lexical, cache, pause_s, step)
+            if backfill and embedder is not None:
+                step("backfill")
+                stats.backfilled = self.backfill(embedder, cache=cache)
+        finally:
+            if progress is not None:
+                progress.finish(stats)
         return stats
 
-    def _index(self, history: History, todo: DataFrame, stats: Stats, embedder: Embedder | None, lexical: bool, cache: EmbeddingCache | None, pause_s: float) -> None:
+    def _index(self, history: History, todo: DataFrame, stats: Stats, embedder: Embedder | None, lexical: bool, cache: EmbeddingCache | None, pause_s: float, step: Callable[[str], None]) -> None:
         seg = self._new_segment()
         keys = todo.select(F.col("id").alias("session_id"))
         parts = History(history.project, todo, history.message.join(keys, "session_id", "left_semi"), history.part.join(keys, "session_id", "left_semi"))
         placed = parts.parts()
+        step("chunks")
         chunks = self._write_chunks(seg, chunking.chunkify(placed, parts.messages(), todo))
+        step("postings")
         self._write_postings(seg, chunks, lexical)
         error, embedded = "", False
         if embedder is not None:
+            step("vectors")
             try:
                 wanted = chunks.where(pending()).select("id", F.col("embed_text").alias("text"))
                 vectors = cache.embedded(wanted, embedder, pause_s) if cache is not None else embed_cached(wanted, None, embedder, pause_s)[0]
@@ -235,6 +248,7 @@ class Index:
                 embedded = True
             except Exception as failure:  # a failing service must not lose the texts
                 error = f"embedding failed: {str(failure).splitlines()[0][:200]}"
+        step("sessions")
         counts = chunks.groupBy("session_id").agg(F.count("*").alias("chunks_count"))
         totals = placed.groupBy("session_id").agg(F.count("*").alias("parts_count"))
         meta = todo.withColumn("session_id", F.col("id")).join(totals, "session_id", "left").join(counts, "session_id", "left").join(parts.compaction(placed), "session_id", "left")
@@ -313,10 +327,11 @@ class Index:
             self._commit(vectors=[*self.manifest.vectors, seg])
         return n
 
-    def compact(self) -> None:
-        """One segment with all live rows; old segments stay on disk until ``vacuum``."""
+    def compact(self, lexical: bool | None = None) -> None:
+        """One segment with all live rows; old segments stay on disk until ``vacuum``. ``lexical`` makes the second lexical source
+        anew for all of them, or drops it; without it, it stays as it is."""
         seg = self._new_segment()
-        lexical = self.has_lexical()
+        lexical = self.has_lexical() if lexical is None else lexical
         sessions, state, vectors = self.sessions(), self._state().drop("seg"), self.vectors()
         chunks = self._write_chunks(seg, self.chunks())
         self._write_postings(seg, chunks, lexical)

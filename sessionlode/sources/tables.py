@@ -24,6 +24,6 @@ def read(spark: SparkSession, path: str, columns: list[str] | None = None) -> Da
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir. Only a local session, as in tests, may leave it unset and gets a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found and not spark.sparkContext.master.startswith("local"):
+    if not found and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
     return found or os.path.join(tempfile.gettempdir(), "checkpoints")

@@ -78,3 +78,16 @@ def test_stream(spark, tmp_path):
     newer.write.mode("append").parquet(str(tmp_path / "sessions"))
     run()
     assert index.state().first()["last_time_updated"] == 500 and index.chunks().count() == 3
+
+
+def test_shared_folder(spark):
+    from types import SimpleNamespace
+
+    from sessionlode.sources.tables import shared_dir
+
+    session = lambda master, folder: SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: folder), sparkContext=SimpleNamespace(master=master))
+    assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+    assert shared_dir(session("yarn", "hdfs:///x")) == "hdfs:///x" and shared_dir(session("local[4]", None)).endswith("checkpoints")
+    for master in ("yarn", "local-cluster[3,2,1024]", "spark://h:7077"):
+        with pytest.raises(ValueError):
+            shared_dir(session(master, None))
