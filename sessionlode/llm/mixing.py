@@ -7,7 +7,8 @@ deadline runs. The shares add up to 1, so every block meets its deadline, and at
 sources run out, a source is less than one block away from its share. All times come from the weights as given, in whole
 numbers of any length, so nothing is rounded but release and deadline. No document is dropped or repeated.
 
-The driver knows the sources, goes through the slots once and keeps 8 bytes for each block; documents meet the slots of their blocks in a join.
+The driver knows the sources, goes through the slots once (some microseconds a block) and keeps 8 bytes for each block;
+documents meet the slots of their blocks in a join. ``block`` should grow with the mix: 10 million blocks take about a minute.
 
 Native: SQL functions, one shuffle of the documents by (source, hash range). No task holds a source: a source's documents
 are ranked within hash ranges of about a thousand, whose sizes are then summed up.
@@ -37,23 +38,6 @@ RANGE_ROWS = 1024
 PLACES = ("mix_block", "mix_slot", "mix_position")
 
 
-def shares(weights: list[float], period: int) -> list[int]:
-    """Slots of each source in a period: at least one each, else by largest remainder."""
-    total = sum(weights)
-    exact = [max(1.0, w / total * period) for w in weights]
-    scale = period / sum(exact)
-    exact = [x * scale for x in exact]
-    out = [max(1, math.floor(x)) for x in exact]
-    order = sorted(range(len(out)), key=lambda i: (out[i] - exact[i], i))
-    k = 0
-    while sum(out) < period:
-        out[order[k % len(out)]] += 1
-        k += 1
-    while sum(out) > period:
-        out[max(range(len(out)), key=lambda i: (out[i], -i))] -= 1
-    return out
-
-
 def whole(weights: list[float]) -> list[int]:
     """Whole numbers in exactly the proportions of the weights."""
     ratios = [w.as_integer_ratio() for w in weights]
@@ -97,11 +81,6 @@ def timetable(weights: list[float], blocks: list[int]) -> list[array]:
     return slots
 
 
-def one_period(counts: list[int]) -> list[list[int]]:
-    """For each source the slots of its blocks within a period of sum(counts) slots."""
-    return [list(x) for x in timetable(counts, counts)]
-
-
 def phases(weights: list[float], blocks: list[int], period: int = PERIOD) -> list[tuple[int, int, int, int, int, int, array]]:
     """Rows (stream, first block, end block, first slot, blocks, slots, slot of each block from the first on) of the whole
     schedule. A row has ``period`` blocks of its stream, the last one what is left.
@@ -123,7 +102,7 @@ def schedule(docs: DataFrame, weights: Mapping[str, float] | None = None, doc_id
     """``docs`` with the columns mix_block, mix_slot and mix_position (long; columns of these names are replaced).
 
     mix_slot counts blocks over the whole mix, mix_block within the source; mix_position orders documents (slot * block +
-    place in the block). Within a source the order is by a hash of doc_id. ``weights``: target weights by source; without
+    place in the block). Within a source the order is by a hash of doc_id, or of the row where that is null. ``weights``: target weights by source; without
     them, the square root of a source's documents. Every source that occurs and has a positive weight is a stream of its own,
     however many there are; their table is broadcast up to ``max_streams`` sources, beyond that Spark chooses by its size.
     Only a null source and sources without a positive weight, which have no target, share one stream, in the same hash
@@ -150,7 +129,7 @@ def schedule(docs: DataFrame, weights: Mapping[str, float] | None = None, doc_id
     streams = spark.createDataFrame(pa.table({"mix_source": pa.array([name for name, _, _ in own], pa.string()), "stream": pa.array(range(len(own)), pa.int32()), "bits": pa.array(bits[:-1], pa.int32())}))
     if len(own) <= max_streams:
         streams = F.broadcast(streams)
-    rows = rows.withColumn("mix_h", F.xxhash64(id_col))
+    rows = rows.withColumn("mix_h", F.when(id_col.isNull(), F.xxhash64(F.col(names[tie]) if tie else "mix_tie")).otherwise(F.xxhash64(id_col)))
     rows = rows.join(streams, source_col == F.col("mix_source"), "left").drop("mix_source")
     rows = rows.withColumn("stream", F.coalesce("stream", F.lit(len(own)))).withColumn("bits", F.coalesce("bits", F.lit(bits[-1])))
     rows = rows.withColumn("range", F.when(F.col("bits") == 0, F.lit(0).cast("long")).otherwise(F.expr("shiftrightunsigned(mix_h, 64 - bits)"))).drop("bits")
