@@ -9,12 +9,14 @@ the largest proportion names its language.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionlode.llm.hashing import WHITE, text_slices
+from sessionlode.llm.hashing import WHITE, release_memory, text_slices
 
 ORDER = 4
 TABLE_BITS = 16
@@ -22,7 +24,10 @@ SMOOTH = 0.05
 ROUNDS = 12
 PENALTY = 4.0
 TRIFLE = 0.03
-SLICE = 1 << 20
+#: Bytes worked on at a time: what a step makes of them fits the cache.
+SLICE = 1 << 18
+#: Models of more languages are refused: a language has 512 KB of counts on their way to the driver and 256 KB in the broadcast.
+MOST_LANGUAGES = 256
 
 
 def _grams(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -52,17 +57,43 @@ def _grams(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return h[inside].astype(np.int64), np.concatenate(([0], np.cumsum(counts)))
 
 
+def _long(data: np.ndarray, starts: np.ndarray) -> bool:
+    """Whether this is one row that goes in pieces."""
+    return len(starts) == 2 and len(data) > 2 * SLICE
+
+
+def _counted(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, n-gram, count), sorted by row and n-gram. One long row goes in pieces that overlap by an n-gram."""
+    if _long(data, starts):
+        total = np.zeros(1 << TABLE_BITS, dtype=np.int64)
+        for at in range(0, len(data) - ORDER + 1, SLICE):
+            # One byte more in front, for letters of two bytes; its own n-gram is left out.
+            first = max(0, at - 1)
+            piece = data[first : at + SLICE + ORDER - 1]
+            total += np.bincount(_grams(piece, np.array([0, len(piece)]))[0][at - first :], minlength=len(total))
+        gram = np.flatnonzero(total)
+        return np.zeros(len(gram), dtype=np.int64), gram, total[gram]
+    grams, bounds = _grams(data, starts)
+    row = np.repeat(np.arange(len(bounds) - 1, dtype=np.int64), np.diff(bounds))
+    packed = np.sort((row << TABLE_BITS) | grams)
+    new = np.ones(len(packed), dtype=bool)
+    new[1:] = packed[1:] != packed[:-1]
+    at = np.flatnonzero(new)
+    return packed[at] >> TABLE_BITS, packed[at] & ((1 << TABLE_BITS) - 1), np.diff(np.append(at, len(packed)))
+
+
 class Model:
-    """Log probabilities (2**TABLE_BITS, languages) and the languages' names, in order."""
+    """Log probabilities (2**TABLE_BITS, languages), the languages' names, in order, and their shares of what was learned."""
 
-    def __init__(self, names: list[str], table: np.ndarray):
-        self.names, self.table = names, table
+    def __init__(self, names: list[str], table: np.ndarray, prior: np.ndarray):
+        self.names, self.table, self.prior = names, table.astype(np.float32), prior
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     """Counts the n-grams of all rows with a language. Rows without text or language teach nothing.
 
-    What a task ships is a table of fixed size per language that it saw. The languages are taken to be few.
+    What a task ships is a table of fixed size per language that it saw, and what the driver gets one per language; there can
+    be ``MOST_LANGUAGES``.
     """
     width = 1 << TABLE_BITS
 
@@ -71,46 +102,53 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
         for batch in batches:
             langs = np.array(batch.column(1).to_pylist(), dtype=object)
             for row, data, starts in text_slices(batch.column(0), SLICE):
-                grams, bounds = _grams(data, starts)
                 owner = langs[row : row + len(starts) - 1]
                 for name in set(owner):
-                    rows = np.repeat(owner == name, np.diff(bounds))
                     totals.setdefault(name, np.zeros(width, dtype=np.int64))
-                    totals[name] += np.bincount(grams[rows], minlength=width)
+                if _long(data, starts):
+                    _, gram, n = _counted(data, starts)
+                    totals[owner[0]][gram] += n
+                    continue
+                grams, bounds = _grams(data, starts)
+                for name in set(owner):
+                    totals[name] += np.bincount(grams[np.repeat(owner == name, np.diff(bounds))], minlength=width)
         for name, total in totals.items():
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(total[at])], names=["lang", "gram", "n"])
 
     rows = docs.select(F.col(f"`{text}`").cast("string").alias("text"), F.col(f"`{lang}`").cast("string").alias("lang")).where("lang is not null and text is not null")
     counted = rows.mapInArrow(run, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    # One row a language, so the driver gets a table of fixed size for each.
-    packed = counted.groupBy("lang").agg(F.collect_list(F.struct("gram", "n")).alias("grams")).orderBy("lang").collect()
-    table = np.zeros((width, len(packed)))
-    for k, r in enumerate(packed):
-        for g in r["grams"]:
-            table[g["gram"], k] = g["n"]
+
+    def pack(table: pa.Table) -> pa.Table:
+        total = np.zeros(width, dtype=np.int64)
+        total[table.column("gram").to_numpy()] = table.column("n").to_numpy()
+        return pa.table({"lang": pa.array([table.column("lang")[0].as_py()]), "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
+
+    packed = counted.groupBy("lang").applyInArrow(pack, "lang string, counts binary").limit(MOST_LANGUAGES + 1).toArrow()
+    if packed.num_rows > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    found = sorted(zip(packed.column("lang").to_pylist(), packed.column("counts").to_pylist(), strict=True))
+    table = np.zeros((width, len(found)))
+    for k, (_, counts) in enumerate(found):
+        table[:, k] = np.frombuffer(zlib.decompress(counts), dtype=np.int64)
+    seen = table.sum(axis=0)
     table += SMOOTH
-    return Model([r["lang"] for r in packed], np.log(table / table.sum(axis=0)) if packed else table)
+    return Model([name for name, _ in found], np.log(table / table.sum(axis=0)) if found else table, seen / max(1.0, seen.sum()))
 
 
-def _mixtures(model: np.ndarray, grams: np.ndarray, bounds: np.ndarray, penalty: float) -> np.ndarray:
-    """(rows, languages) proportions after selection; rows without n-grams get zeros. All rows step together."""
-    n, languages = len(bounds) - 1, model.shape[1]
+def _mixtures(model: np.ndarray, n: int, row: np.ndarray, gram: np.ndarray, weight: np.ndarray, penalty: float) -> np.ndarray:
+    """(rows, languages) proportions after selection, for ``n`` rows with counted n-grams (row, gram, weight), sorted by row;
+    rows without n-grams get zeros. All rows step together."""
+    languages = model.shape[1]
     out = np.zeros((n, languages))
-    rows = np.flatnonzero(np.diff(bounds))
+    rows = row[np.append(True, row[1:] != row[:-1])] if len(row) else row
     if not len(rows) or not languages:
         return out
-    row = np.repeat(np.arange(n, dtype=np.int64), np.diff(bounds))
-    packed = np.sort((row << TABLE_BITS) | grams)
-    new = np.ones(len(packed), dtype=bool)
-    new[1:] = packed[1:] != packed[:-1]
-    at = np.flatnonzero(new)
-    weight = np.diff(np.append(at, len(packed))).astype(np.float32)
-    row, gram = packed[at] >> TABLE_BITS, packed[at] & ((1 << TABLE_BITS) - 1)
+    weight = weight.astype(np.float32)
     first = np.searchsorted(row, rows)
     total = np.add.reduceat(weight, first).astype(np.float64)
     # One row a language, so that sums over languages run along memory.
-    like = np.ascontiguousarray(model.T.astype(np.float32)[:, gram])
+    like = np.ascontiguousarray(model.T[:, gram])
     like -= like.max(axis=0)
     np.exp(like, out=like)
     sizes = np.diff(np.append(first, len(row)))
@@ -172,8 +210,9 @@ def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "
     and languages, an array of (lang, share), the largest first.
 
     ``und`` with score 0 and no languages where the text is null, has no letter, or nothing was learned. A text of letters
-    too short for an n-gram goes to the language that is likeliest beforehand, the first by name, with an equal share.
-    Whole texts are read. Repeated rows have equal results.
+    too short for an n-gram goes to the language that most was learned of (the first by name, if several), with its share.
+    Whole texts are read, a very long one in pieces. Repeated rows have equal results; an empty table gives an empty result.
+    Other columns, whatever their names, are not looked at.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -183,7 +222,7 @@ def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "
             texts = batch.column(0)
             for row, data, starts in text_slices(texts, SLICE):
                 n = len(starts) - 1
-                share = _mixtures(m.table, *_grams(data, starts), penalty)
+                share = _mixtures(m.table, n, *_counted(data, starts), penalty)
                 share /= np.maximum(share.sum(axis=1, keepdims=True), 1e-300)
                 best = share.argmax(axis=1) if m.names else np.zeros(n, dtype=int)
                 names, scores, sets = [], [], []
@@ -193,14 +232,15 @@ def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "
                         scores.append(0.0)
                         sets.append([])
                     elif not share[i].any():
-                        names.append(m.names[0])
-                        scores.append(1.0 / len(m.names))
-                        sets.append([{"lang": k, "share": 1.0 / len(m.names)} for k in m.names])
+                        names.append(m.names[m.prior.argmax()])
+                        scores.append(float(m.prior.max()))
+                        sets.append([{"lang": m.names[k], "share": float(m.prior[k])} for k in np.argsort(-m.prior, kind="stable")])
                     else:
                         names.append(m.names[best[i]])
                         scores.append(min(1.0, float(share[i, best[i]])))
                         sets.append([{"lang": m.names[k], "share": float(share[i, k])} for k in np.argsort(-share[i], kind="stable") if share[i, k] > 0])
                 yield pa.RecordBatch.from_arrays([*(c.slice(row, n) for c in batch.columns[1:]), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(sets, languages)], names=out_names)
+        release_memory()
 
     languages = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
     columns = ["doc_id", *keep]
