@@ -10,14 +10,19 @@ merges gives.
 Decoding concatenates slices of one byte blob, addressed by an offset table over token ids.
 
 Files: the JSON of the ``tokenizers`` library with a BPE model, optional end-of-word suffix, byte-level alphabet, and the
-normaliser NFC, white-space folding, lower case; ``Encoder.load`` refuses settings that it does not know.
+normaliser NFC, white-space folding, lower case; ``Encoder`` refuses settings that it does not know. The driver reads the
+file and broadcasts it, within ``MOST_FILE_BYTES``; executors never look for the path.
+
+Texts of any length are encoded and decoded in pieces, cut at white space, which no token spans.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,12 +30,18 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CACHE_WORDS = 300_000
+from sessionlode.llm.hashing import release_memory
+
+CACHE_WORDS = 120_000
 CACHE_CHARS = 64
-PAIR_SLOTS = 1 << 20
+PAIR_SLOTS = 1 << 18
+#: Characters of a text, and ids of its code, that are held in work at a time.
+PIECE = 1 << 18
+MOST_FILE_BYTES = 64 << 20
+WHITE = re.compile(r"[\t-\r ]")
 
 
 @lru_cache(maxsize=1)
@@ -63,6 +74,8 @@ class Encoder:
             raise ValueError("only plain added tokens are supported")
         self.special_split = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.special_bytes = {x: np.uint32(i).tobytes() for x, i in self.special.items()}
+        self.special_starts = sorted({x[0] for x in self.special})
+        self.cut_free = not any(WHITE.search(x) for x in self.special)
         self._tables(model)
         self._offsets(model["vocab"])
         self.young: dict[str, bytes] = {}
@@ -71,7 +84,7 @@ class Encoder:
     @staticmethod
     @lru_cache(maxsize=2)
     def load(path: str) -> Encoder:
-        """One encoder per worker process and file."""
+        """One encoder per process and file."""
         with open(path, encoding="utf-8") as f:
             return Encoder(json.load(f))
 
@@ -208,11 +221,25 @@ class Encoder:
             parts.append(self._word(w) if got is None else got)
         return b"".join(parts)
 
+    def _pieces(self, text: str) -> Iterator[str]:
+        """The text in pieces of about ``PIECE`` characters, cut at white space."""
+        at = 0
+        while at < len(text):
+            cut = WHITE.search(text, at + PIECE) if self.cut_free else None
+            end = cut.start() if cut else len(text)
+            yield text[at:end]
+            at = end
+
     def encode_bytes(self, text: str | None) -> bytes:
         """Ids of a whole text as little-endian 32-bit numbers; null and empty texts have none."""
         if not text:
             return b""
-        if self.special_split is None or "<" not in text:
+        if len(text) > 2 * PIECE:
+            return b"".join(map(self._encoded, self._pieces(text)))
+        return self._encoded(text)
+
+    def _encoded(self, text: str) -> bytes:
+        if not any(c in text for c in self.special_starts):
             return self._plain(text)
         return b"".join(self.special_bytes[x] if k % 2 else self._plain(x) for k, x in enumerate(self.special_split.split(text)))
 
@@ -228,16 +255,20 @@ class Encoder:
         self.starts = np.concatenate(([0], np.cumsum([len(x) for x in names]))).astype(np.int64)
         self.sizes = np.diff(self.starts)
 
-    def decode_bytes(self, ids: bytes) -> bytes:
-        """UTF-8 of the decoded text: the tokens' strings with a space between, special tokens included."""
+    def decoded_parts(self, ids: bytes) -> Iterator[bytes]:
+        """UTF-8 of the decoded text: the tokens' strings with a space between, special tokens included; in pieces."""
         at = np.frombuffer(ids, dtype="<u4")
-        if not len(at):
-            return b""
-        sizes = self.sizes[at]
-        ends = np.cumsum(sizes)
-        index = np.repeat(self.starts[at] - ends + sizes, sizes)
-        index += np.arange(len(index), dtype=np.int64)
-        return self.blob[index].tobytes()[:-1]
+        for first in range(0, len(at), PIECE):
+            part = at[first : first + PIECE]
+            sizes = self.sizes[part]
+            ends = np.cumsum(sizes)
+            index = np.repeat(self.starts[part] - ends + sizes, sizes)
+            index += np.arange(len(index), dtype=np.int64)
+            out = self.blob[index].tobytes()
+            yield out if first + PIECE < len(at) else out[:-1]
+
+    def decode_bytes(self, ids: bytes) -> bytes:
+        return b"".join(self.decoded_parts(ids))
 
     def decode(self, ids) -> str:
         return self.decode_bytes(np.asarray(ids, dtype="<u4").tobytes()).decode("utf-8", "surrogatepass")
@@ -252,60 +283,82 @@ def _texts(batch: pa.RecordBatch, limit: int = 8 << 20) -> Iterator[tuple[int, l
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "token_ids") -> DataFrame:
-    """``docs`` with the array<int> column ``ids``: the encoded whole text (null and empty texts: no tokens).
+    """``docs`` with the array<int> column ``ids``: the encoded whole text, however long (null and empty texts: no tokens).
 
     All other columns pass through, whatever their names; a column named ``ids`` is replaced. Rows are independent, so
     repeated rows give repeated results and an empty table stays empty.
     """
-    return _map(docs, text, [(ids, pa.list_(pa.int32()), "array<int>")], _Encode(path))
+    return _map(docs, text, [(ids, pa.list_(pa.int32()), "array<int>")], _Encode(docs.sparkSession, path))
 
 
 def decode(docs: DataFrame, path: str, ids: str = "token_ids", text: str = "decoded") -> DataFrame:
     """``docs`` with the string column ``text`` decoded from the array<int> column ``ids`` (null: empty)."""
-    return _map(docs, ids, [(text, pa.string(), "string")], _Decode(path))
+    return _map(docs, ids, [(text, pa.string(), "string")], _Decode(docs.sparkSession, path))
 
 
 def round_trip(docs: DataFrame, path: str, text: str = "text", keep_text: bool = False) -> DataFrame:
-    """``docs`` (without the text) with n_tokens, ids_sha256 and decoded_sha256 of each whole text, in one pass."""
+    """``docs`` (without the text) with n_tokens, ids_sha256 and decoded_sha256 of each whole text, in one pass. Nulls,
+    long texts and other columns as in ``encode``."""
     columns = [("n_tokens", pa.int64(), "bigint"), ("ids_sha256", pa.string(), "string"), ("decoded_sha256", pa.string(), "string")]
-    return _map(docs, text, columns, _Digests(path), keep_text)
+    return _map(docs, text, columns, _Digests(docs.sparkSession, path), keep_text)
 
 
 def count(docs: DataFrame, path: str, text: str = "text", n: str = "n_tokens", keep_text: bool = False) -> DataFrame:
     """``docs`` (without the text) with the bigint column ``n``: tokens of each whole text (null: 0)."""
-    return _map(docs, text, [(n, pa.int64(), "bigint")], _Count(path), keep_text)
+    return _map(docs, text, [(n, pa.int64(), "bigint")], _Count(docs.sparkSession, path), keep_text)
+
+
+_LOADED: dict[str, Encoder] = {}
 
 
 class _Encode:
-    def __init__(self, path):
-        self.path = path
+    """Work on the values of one column, with the encoder of a file that the driver has read."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        if "://" in path:
+            data = bytes(spark.read.format("binaryFile").load(path).first()["content"])
+        else:
+            with open(path, "rb") as f:
+                data = f.read()
+        if len(data) > MOST_FILE_BYTES:
+            raise ValueError(f"a tokenizer file of {len(data)} bytes is not broadcast")
+        self.key, self.data = hashlib.sha256(data).hexdigest(), spark.sparkContext.broadcast(zlib.compress(data))
+
+    def coder(self) -> Encoder:
+        if self.key not in _LOADED:
+            _LOADED.clear()
+            _LOADED[self.key] = Encoder(json.loads(zlib.decompress(self.data.value)))
+        return _LOADED[self.key]
 
     def __call__(self, texts):
-        coder = Encoder.load(self.path)
+        coder = self.coder()
         return [pa.array([np.frombuffer(coder.encode_bytes(x), dtype="<i4") for x in texts], type=pa.list_(pa.int32()))]
 
 
 class _Decode(_Encode):
     def __call__(self, ids):
-        coder = Encoder.load(self.path)
+        coder = self.coder()
         return [pa.array([coder.decode(x or []) for x in ids], type=pa.string())]
 
 
 class _Digests(_Encode):
     def __call__(self, texts):
-        coder = Encoder.load(self.path)
+        coder = self.coder()
         n, first, second = [], [], []
         for x in texts:
             ids = coder.encode_bytes(x)
             n.append(len(ids) // 4)
             first.append(hashlib.sha256(ids).hexdigest())
-            second.append(hashlib.sha256(coder.decode_bytes(ids)).hexdigest())
+            digest = hashlib.sha256()
+            for part in coder.decoded_parts(ids):
+                digest.update(part)
+            second.append(digest.hexdigest())
         return [pa.array(n, type=pa.int64()), pa.array(first), pa.array(second)]
 
 
 class _Count(_Encode):
     def __call__(self, texts):
-        coder = Encoder.load(self.path)
+        coder = self.coder()
         return [pa.array([len(coder.encode_bytes(x)) // 4 for x in texts], type=pa.int64())]
 
 
@@ -324,6 +377,7 @@ def _map(docs: DataFrame, source: str, columns: list[tuple[str, pa.DataType, str
                 part = batch.slice(at, len(values))
                 rest = list(part.columns)
                 yield pa.RecordBatch.from_arrays([*(rest if keep_source else rest[1:]), *work(values)], names=out_names)
+        release_memory()
 
     out_names = [*(["x"] if keep_source else []), *[positions[c] for c in order], *names]
     fields = [*([f"x {docs.schema[source].dataType.simpleString()}"] if keep_source else []), *[f"{positions[c]} {docs.schema[c].dataType.simpleString()}" for c in order], *[f"`{n}` {t}" for n, _, t in columns]]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sessionlode.llm import bpe, language_id, line_dedup, mixing, ngram_join, pii, quality_classifier, quality_rules, token_counts, top_k
 from sessionlode.llm.scratch import Scratch
+from sessionlode.sources import tables
 
 
 def tokenizer_path() -> str:
@@ -22,17 +23,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """For plans that go through the texts once and do much with each: a table whose splits cannot fill the cores is dealt out."""
+    return tables.read(spark, f"{sf_dir}/{name}.parquet")
+
+
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents has no URL: source stands for the host (who published it), lang for the path (a part of that source)."""
     return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.judge(table(spark, sf_dir, "documents"))
+    return quality_rules.judge(dealt(spark, sf_dir, "documents"))
 
 
 def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
+    return bpe.round_trip(dealt(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
 
 
 def op4_ball_tree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,12 +50,12 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lengths = token_counts.histogram(table(spark, sf_dir, "documents"), tokenizer_path())
+    lengths = token_counts.histogram(dealt(spark, sf_dir, "documents"), tokenizer_path())
     return token_counts.summary(Scratch(spark, "lengths").table(lengths, "histogram"))  # read more than once
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.detect(table(spark, sf_dir, "documents")).drop("found")
+    return pii.detect(dealt(spark, sf_dir, "documents")).drop("found")
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

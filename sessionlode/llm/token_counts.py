@@ -7,17 +7,21 @@ quantiles. Suffix sums go in two levels, within ranges of lengths and over the r
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionlode.llm import bpe
 
-RANGE = 1024
+#: Lengths in a range. The windows over all ranges have a row each: no more than the longest text has tokens / RANGE.
+RANGE = 128
 
 
 def histogram(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """(n_tokens, n_docs): documents by encoded length. Null and empty texts have length 0; repeated rows count each.
-    Other columns are not looked at. An empty table gives an empty result."""
+    """(n_tokens, n_docs): documents by encoded length of their whole texts, however long. Null and empty texts have length
+    0; repeated rows count each. Other columns, whatever their names, are not looked at. An empty table gives an empty
+    result."""
     return bpe.count(docs.select(F.col(f"`{text}`").alias("text")), path).groupBy("n_tokens").agg(F.count("*").alias("n_docs"))
 
 
@@ -25,7 +29,8 @@ def summary(lengths: DataFrame) -> DataFrame:
     """For each length L of the histogram (n_tokens, n_docs), with all sums exact:
 
     docs_from, tokens_from: documents of at least L tokens and their tokens; truncated_tokens: tokens left if documents are
-    cut at L; docs_upto: documents of at most L tokens; quantile: their share of all documents.
+    cut at L; docs_upto: documents of at most L tokens; quantile: their share of all documents, the only figure that is not a
+    whole number.
     """
     own = lengths.select("n_tokens", "n_docs", (F.col("n_tokens") * F.col("n_docs")).alias("tokens"), F.floor(F.col("n_tokens") / RANGE).alias("range"))
     ranges = own.groupBy("range").agg(F.sum("n_docs").alias("d"), F.sum("tokens").alias("t"))
@@ -42,7 +47,7 @@ def summary(lengths: DataFrame) -> DataFrame:
         tokens_from.alias("tokens_from"),
         (F.col("all_tokens") - tokens_from + F.col("n_tokens") * docs_from).alias("truncated_tokens"),
         upto.alias("docs_upto"),
-        F.round(upto / F.col("all_docs"), 9).alias("quantile"),
+        (upto / F.col("all_docs")).alias("quantile"),
     )
 
 
@@ -57,7 +62,15 @@ def at_limits(lengths: DataFrame, limits: list[int]) -> DataFrame:
 
 
 def quantiles(lengths: DataFrame, shares: list[float]) -> DataFrame:
-    """(share, n_tokens): the least length that this share of the documents does not exceed."""
+    """(share, n_tokens): the least length that this share of the documents does not exceed; without documents null.
+
+    Shares count as the decimal fractions that they are written as, and are compared in whole numbers: n documents reach
+    num / den if n * den >= num * all.
+    """
     rows = summary(lengths)
-    asked = rows.sparkSession.createDataFrame([(float(x),) for x in shares], "share double")
-    return asked.join(rows, F.col("quantile") >= F.col("share") - 1e-9).groupBy("share").agg(F.min("n_tokens").alias("n_tokens"))
+    wide = lambda c: c.cast("decimal(19,0)")
+    every = wide(F.col("docs_from") + F.col("docs_upto") - F.col("n_docs"))
+    asked = [Fraction(str(x)) for x in shares]
+    reached = lambda f: wide(F.col("docs_upto")) * F.lit(f.denominator).cast("decimal(19,0)") >= every * F.lit(f.numerator).cast("decimal(19,0)")
+    found = [F.struct(F.lit(float(x)).alias("share"), F.min(F.when(reached(f), F.col("n_tokens"))).alias("n_tokens")) for x, f in zip(shares, asked, strict=True)]
+    return rows.agg(F.array(*found).alias("q")).select(F.inline("q"))
