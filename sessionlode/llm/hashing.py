@@ -20,7 +20,8 @@ FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 FOLDED_KEYS = BYTE_KEYS[FOLD]
 STEP = U64(0x9E3779B97F4A7C15)
-SLICE_BYTES = 1 << 20
+#: Bytes worked on at a time: what a step makes of them fits the cache.
+SLICE_BYTES = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -53,7 +54,7 @@ def release_memory() -> None:
 def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, row starts with the end appended) for runs of rows of about ``limit`` bytes. Null reads as empty.
 
-    A row longer than the limit comes alone and whole.
+    A row longer than the limit comes alone and whole; what works on it goes in pieces.
     """
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -73,8 +74,33 @@ def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[in
         row = end
 
 
+def _next_white(data: np.ndarray, at: int) -> int:
+    """The place of the first white space from ``at`` on, or the end."""
+    while at < len(data):
+        hit = np.flatnonzero(WHITE[data[at : at + SLICE_BYTES]])
+        if len(hit):
+            return at + int(hit[0])
+        at += SLICE_BYTES
+    return len(data)
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, fold: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprints of all words in order, and for each row the index of its first word (with the end appended)."""
+    """Fingerprints of all words in order, and for each row the index of its first word (with the end appended).
+
+    One long row goes in pieces, cut before white space, so that only its fingerprints are held whole.
+    """
+    if len(starts) == 2 and len(data) > 2 * SLICE_BYTES:
+        parts, at = [], 0
+        while at < len(data):
+            end = _next_white(data, at + SLICE_BYTES)
+            parts.append(_word_hashes(data[at:end], np.array([0, end - at]), fold)[0])
+            at = end
+        hashes = np.concatenate(parts)
+        return hashes, np.array([0, len(hashes)])
+    return _word_hashes(data, starts, fold)
+
+
+def _word_hashes(data: np.ndarray, starts: np.ndarray, fold: bool) -> tuple[np.ndarray, np.ndarray]:
     if not len(data):
         return np.zeros(0, dtype=np.uint64), np.zeros(len(starts), dtype=np.int64)
     inside = ~WHITE[data]
@@ -111,6 +137,12 @@ def shingle_hashes(words: np.ndarray, bounds: np.ndarray, width: int) -> tuple[n
     total = int(out_bounds[-1])
     if not total:
         return np.zeros(0, dtype=np.uint64), out_bounds
+    if len(counts) == 1 and total > SLICE_BYTES:  # one long row, in pieces
+        parts = []
+        for first in range(0, total, SLICE_BYTES):
+            part = words[first : min(first + SLICE_BYTES, total) + width - 1]
+            parts.append(shingle_hashes(part, np.array([0, len(part)]), width)[0])
+        return np.concatenate(parts), out_bounds
     at = np.arange(total, dtype=np.int64) + np.repeat(bounds[:-1] - out_bounds[:-1], sizes)
     span = np.repeat(np.minimum(counts, width), sizes)
     padded = np.append(words, np.zeros(width, dtype=np.uint64))

@@ -6,11 +6,13 @@ finds every link. Two relations between sets save work:
 
 - within a list, the length and positional filters skip whole blocks of entries;
 - between sets: a set that links with another takes over that one's class, the answers known so far, and only looks beyond
-  it. First every entry of a list is compared with one leader only, which is linear in the list. What is left are entries
-  of different classes; a list with one class is skipped. Where two sets were both compared with one leader, their overlap
+  it. First every entry of a list is compared with one leader, then with one entry of another class; both choices take one
+  pass over a list. What is left are entries of different classes; a list with one class is skipped, and in others the
+  entries outside the largest class are walked against all. Where two sets were both compared with one leader, their overlap
   follows from their small differences to it, without either set.
 
 Links inside a class are implied, so copies and near copies are never expanded into pairs; no link between classes is lost.
+Lists are cut at a fixed length (see ``set_index``), and pairs leave a task in lots of bounded size.
 """
 
 from __future__ import annotations
@@ -26,11 +28,12 @@ from sessionlode.llm import hashing as H
 from sessionlode.llm import set_index as S
 from sessionlode.llm.components import components
 from sessionlode.llm.scratch import Scratch, small_batches
-from sessionlode.llm.sketches import Bloom, frequencies, slot
+from sessionlode.llm.sketches import Bloom, exact_counts, frequencies, slot
 
 NUM, DEN = 9, 10
 ENTRIES_A_LIST_GROUP = 300_000
-SEEN_SETS = 300_000
+#: Sets that a task remembers, to give the prefix of equal ones once.
+SEEN_BITS = 16
 SALTS = 16
 
 
@@ -57,8 +60,9 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int
     Words are runs outside ``\\x20 \\x09-\\x0D`` with A-Z lower-cased; a text of fewer than ``width`` words is one shingle,
     one without words (or null) has an empty set and is linked with nothing. Documents link at Jaccard >= num / den.
     A row without a doc_id gets its n_shingles, takes no part in links, and has a null component_id. Rows that share a
-    doc_id are one document and share its component (if their texts differ, one text stands for
-    it). Other columns are not looked at. An empty table gives an empty result.
+    doc_id are one document and share its component; if their texts differ, each gets its own n_shingles, copies of any of
+    them link, and for near copies the text of the least set digest stands for it. Whole texts are read, a very long one in
+    pieces. Other columns, whatever their names, are not looked at. An empty table gives an empty result.
     """
     with small_batches(docs.sparkSession):
         return _link(docs, doc_id, text, width, num, den)
@@ -69,13 +73,14 @@ def _link(docs: DataFrame, doc_id: str, text: str, width: int, num: int, den: in
     scratch = Scratch(spark, "ngram-join")
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     counts = frequencies(rows.select("text"), lambda b: (x for _, x, _, _ in _raw(b, width)))
-    groups = max(2 * spark.sparkContext.defaultParallelism, int(counts.sum()) * (den - num) // den // ENTRIES_A_LIST_GROUP)
     shared = spark.sparkContext.broadcast(counts)
 
-    signed = scratch.table(rows.mapInArrow(_index(shared, width, num, den), "doc_id long, n long, d1 long, d2 long, prefix binary"), "signed", wide=True)
+    signed = scratch.table(rows.mapInArrow(_index(shared, width, num, den), "doc_id long, n long, d1 long, d2 long, prefix binary"), "signed", wide=True, packed=True)
     sets = signed.drop("prefix")
-    prefixes = signed.where("prefix is not null").select(F.col("doc_id").alias("id"), F.col("n").alias("size"), "prefix")
-    blocks = prefixes.mapInArrow(_blocks(shared, groups), "pid int, block binary")
+    prefixes = signed.where("prefix is not null").select(F.col("doc_id").alias("id"), F.col("n").alias("size"), "prefix", "d1", "d2")
+    entries, tokens = prefixes.select("prefix"), lambda b: (np.frombuffer(x, dtype=np.uint64) for x in b.column(0).to_pylist())
+    lengths, groups = list_lengths(entries, tokens, ENTRIES_A_LIST_GROUP)
+    blocks = prefixes.mapInArrow(_blocks(lengths, groups), "pid int, block binary")
     found = scratch.table(blocks.groupBy("pid").applyInArrow(_open_lists(num, den), "pid int, key long, owner long, size int, place int, leader long"), "found", wide=True)
 
     named = sets.where("n > 0 and doc_id is not null")
@@ -103,9 +108,24 @@ def _link(docs: DataFrame, doc_id: str, text: str, width: int, num: int, den: in
         classes = components(scratch, edges)
 
     result = sets.join(classes.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    result = scratch.table(result, "result")
+    scratch.keep_only("result")
     return result
 
 
+def list_lengths(entries: DataFrame, tokens, group_size: int) -> tuple:
+    """(a broadcast of the lists' lengths, groups of lists so that each has about ``group_size`` entries) of all index
+    entries, given as batches of tokens."""
+    spark = entries.sparkSession
+    sketch = frequencies(entries, tokens)
+    heavy = (sketch > S.HEAVY).any() and exact_counts(entries, tokens, sketch > S.HEAVY, S.HEAVY, S.MOST_HEAVY)
+    lengths = S.Lengths(sketch, *heavy) if heavy else S.Lengths(sketch)
+    # A list of n entries that is cut into c chunks has about n * c entries.
+    extra = int((lengths.counts * (-(-lengths.counts // lengths.heavy) - 1)).sum()) if heavy else 0
+    groups = max(2 * spark.sparkContext.defaultParallelism, (int(sketch.sum()) + extra) // group_size)
+    return spark.sparkContext.broadcast(lengths), groups
+
+
 def _raw(batch: pa.RecordBatch, width: int):
     for row, data, starts in H.text_slices(batch.column(0)):
         shingles, bounds = H.shingle_hashes(*H.word_hashes(data, starts, fold=True), width)
@@ -119,44 +139,43 @@ def _index(shared, width: int, num: int, den: int):
     """
 
     def run(batches):
-        counts, seen = shared.value, set()
+        counts = shared.value
+        seen = np.zeros((1 << SEEN_BITS, 2), dtype=np.uint64)
         for batch in batches:
             ids, null = batch.column(0), batch.column(0).is_null().to_numpy(zero_copy_only=False)
             for row, _, values, bounds in _sets(batch, 1, width):
                 n = len(bounds) - 1
-                once, twice = np.append(H.mix(values), np.uint64(0)), np.append(H.mix(values * H.STEP + np.uint64(1)), np.uint64(0))
-                full = np.diff(bounds) > 0
-                d1, d2 = (np.where(full, np.add.reduceat(x, bounds[:-1]), 0).astype(np.uint64) for x in (once, twice))
+                full = np.flatnonzero(np.diff(bounds))
+                d1, d2 = np.zeros(n, dtype=np.uint64), np.zeros(n, dtype=np.uint64)
+                if len(full):
+                    d1[full] = np.add.reduceat(H.mix(values), bounds[full])
+                    d2[full] = np.add.reduceat(H.mix(values * H.STEP + np.uint64(1)), bounds[full])
                 prefix: list[bytes | None] = [None] * n
-                for i in np.flatnonzero(full & ~null[row : row + n]):
-                    key = (int(d1[i]), int(d2[i]))
-                    if key in seen:
+                for i in full[~null[row + full]]:
+                    place = int(d1[i]) & ((1 << SEEN_BITS) - 1)
+                    if seen[place, 0] == d1[i] and seen[place, 1] == d2[i]:
                         continue
-                    if len(seen) >= SEEN_SETS:
-                        seen.clear()
-                    seen.add(key)
+                    seen[place] = d1[i], d2[i]
                     prefix[i] = _prefix(values[bounds[i] : bounds[i + 1]], counts, num, den).tobytes()
                 yield pa.RecordBatch.from_arrays([ids.slice(row, n), pa.array(np.diff(bounds)), pa.array(H.to_signed(d1)), pa.array(H.to_signed(d2)), pa.array(prefix, pa.binary())], names=["doc_id", "n", "d1", "d2", "prefix"])
-        seen = None
         H.release_memory()
 
     return run
 
 
-def _blocks(shared, groups: int):
+def _blocks(lengths, groups: int):
     """The index entries of a batch of prefixes (id, size, prefix), packed by group of lists."""
 
     def run(batches):
-        counts = shared.value
         for batch in batches:
             if not batch.num_rows:
                 continue
             parts = [np.frombuffer(x, dtype=np.uint64) for x in batch.column(2).to_pylist()]
-            lengths = np.array([len(x) for x in parts])
+            n = np.array([len(x) for x in parts])
             tokens = np.concatenate(parts)
-            owner, size = np.repeat(batch.column(0).to_numpy(), lengths), np.repeat(batch.column(1).to_numpy(), lengths)
-            place = np.arange(len(tokens)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            keys, index = S.spread(tokens, owner, counts)
+            owner, size = np.repeat(batch.column(0).to_numpy(), n), np.repeat(batch.column(1).to_numpy(), n)
+            place = np.arange(len(tokens)) - np.repeat(np.cumsum(n) - n, n)
+            keys, index = S.spread(tokens, owner, lengths.value)
             pid = (keys % np.uint64(groups)).astype(np.int32)
             order = np.argsort(pid, kind="stable")
             keys, index, pid = keys[order], index[order], pid[order]
@@ -176,7 +195,7 @@ def _sorted_lists(key, size, place):
 
 
 def _open_lists(num: int, den: int):
-    """Keeps the entries that some other entry of their list can reach; each names as leader the least owner before it."""
+    """Keeps the entries that have room for a partner in their list; each names as leader an entry with a lesser owner."""
 
     def run(table: pa.Table) -> pa.Table:
         x = S.unpack(table.column("block").to_pylist(), {"key": "uint64", "owner": "int64", "size": "int64", "place": "int64"})
@@ -186,16 +205,12 @@ def _open_lists(num: int, den: int):
         x = {k: v[many] for k, v in x.items()}
         order, lists = _sorted_lists(x["key"], x["size"], x["place"])
         x = {k: v[order] for k, v in x.items()}
-        none = np.iinfo(np.int64).max
-        leader = np.full(len(order), none)
-        used = np.zeros(len(order), dtype=bool)
-        for i, j in S.walk(lists, x["size"], x["place"], num, den, lambda i, j: x["owner"][i] != x["owner"][j]):
-            used[i] = used[j] = True
-            np.minimum.at(leader, i, x["owner"][j])
-            np.minimum.at(leader, j, x["owner"][i])
-        leader[leader > x["owner"]] = none
+        used = S.reachable(lists, x["size"], x["place"], num, den)
+        leader = S.leaders(lists, x["size"], x["place"], x["owner"], num, den)
+        none = (leader < 0) | (x["owner"][leader] >= x["owner"])
+        leader = np.where(none, 0, x["owner"][leader])
         at = np.flatnonzero(used)
-        return pa.table({"pid": pa.array(np.full(len(at), pid, dtype=np.int32)), "key": H.to_signed(np.ascontiguousarray(x["key"][at])), "owner": x["owner"][at], "size": x["size"][at].astype(np.int32), "place": x["place"][at].astype(np.int32), "leader": pa.array(leader[at], mask=leader[at] == none)})
+        return pa.table({"pid": pa.array(np.full(len(at), pid, dtype=np.int32)), "key": H.to_signed(np.ascontiguousarray(x["key"][at])), "owner": x["owner"][at], "size": x["size"][at].astype(np.int32), "place": x["place"][at].astype(np.int32), "leader": pa.array(leader[at], mask=none[at])})
 
     return run
 
@@ -208,7 +223,8 @@ def _plausible(pairs: DataFrame, prefixes: DataFrame, shared, num: int, den: int
     a tenth of a set.
     """
     rest = [c for c in pairs.columns if c not in ("a", "b")]
-    side = lambda x, y: prefixes.select(F.col("id").alias(x), F.col("size").alias(f"size_{x}"), F.col("prefix").alias(y)).dropDuplicates([x])
+    one = prefixes.groupBy("id").agg(F.min(F.struct("d1", "d2", "size", "prefix")).alias("p")).select("id", "p.size", "p.prefix")
+    side = lambda x, y: one.select(F.col("id").alias(x), F.col("size").alias(f"size_{x}"), F.col("prefix").alias(y))
     both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("x", "y", "size_a", "size_b", "a", "b", *rest)
 
     def run(batches):
@@ -233,7 +249,8 @@ def _plausible(pairs: DataFrame, prefixes: DataFrame, shared, num: int, den: int
 def _fetch(rows: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     """(id, sorted set) of the documents in ``ids``, made from their texts again; a Bloom filter keeps the rest back."""
     needed = rows.sparkSession.sparkContext.broadcast(Bloom.of(ids, lambda b: H.to_unsigned(b.column(0).to_numpy())))
-    return rows.where("doc_id is not null").mapInArrow(_arrays(needed, width), "id long, tokens binary").dropDuplicates(["id"])
+    arrays = rows.where("doc_id is not null").mapInArrow(_arrays(needed, width), "id long, d1 long, d2 long, tokens binary")
+    return arrays.groupBy("id").agg(F.min(F.struct("d1", "d2", "tokens")).alias("t")).select("id", "t.tokens")
 
 
 def _arrays(needed, width: int):
@@ -242,8 +259,10 @@ def _arrays(needed, width: int):
             hit = needed.value.hits(H.to_unsigned(batch.column(0).to_numpy()))
             batch = batch.filter(pa.array(hit))
             for row, _, values, bounds in _sets(batch, 1, width):
-                n = len(bounds) - 1
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, n), pa.array([values[bounds[i] : bounds[i + 1]].tobytes() for i in range(n)], type=pa.binary())], names=["id", "tokens"])
+                sets = [values[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                digests = [pa.array([int(H.mix(f(x)).sum().view(np.int64)) for x in sets], pa.int64()) for f in (lambda x: x, lambda x: x * H.STEP + H.U64(1))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(sets)), *digests, pa.array([x.tobytes() for x in sets], type=pa.binary())], names=["id", "d1", "d2", "tokens"])
+        H.release_memory()
 
     return run
 
@@ -251,37 +270,54 @@ def _arrays(needed, width: int):
 def _across(found: DataFrame, classes: DataFrame, every: bool, num: int, den: int) -> DataFrame:
     """Pairs (a, b) of owners in different classes that pass the filters; unless ``every``, one partner for an entry only."""
     labelled = found.join(classes.withColumnRenamed("node", "owner"), "owner", "left").select("pid", "key", "owner", "size", "place", F.coalesce("component", "owner").alias("class"))
+    names = ["a", "b"]
 
-    def run(table: pa.Table) -> pa.Table:
+    def pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        pair = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)]), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))  # a group of lists of bounded size
         x = {k: table.column(k).to_numpy().astype(np.int64) for k in ("key", "owner", "size", "place", "class")}
+        if not table.num_rows:
+            return
         order = np.lexsort((x["place"], x["size"], x["key"]))
         x = {k: v[order] for k, v in x.items()}
-        out_a, out_b = [], []
-        if len(order):
-            cuts = np.concatenate(([0], np.flatnonzero(np.diff(x["key"])) + 1))
-            mixed = np.minimum.reduceat(x["class"], cuts) != np.maximum.reduceat(x["class"], cuts)
-            live = np.repeat(mixed, np.diff(np.append(cuts, len(order))))
-            x = {k: v[live] for k, v in x.items()}
-            lists = np.concatenate(([0], np.cumsum(np.diff(x["key"]) != 0))) if live.any() else np.zeros(0, dtype=np.int64)
-            partner = np.full(len(lists), np.iinfo(np.int64).max)
-            for i, j in S.walk(lists, x["size"], x["place"], num, den, lambda i, j: x["class"][i] != x["class"][j]):
-                a, b = x["owner"][i], x["owner"][j]
-                if every:
-                    pair = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)]), axis=1)
-                    out_a.append(pair[0])
-                    out_b.append(pair[1])
-                else:
-                    np.minimum.at(partner, i, b)
-                    np.minimum.at(partner, j, a)
-            if not every:
-                at = np.flatnonzero(partner < x["owner"])
-                out_a, out_b = [x["owner"][at]], [partner[at]]
-        empty = np.zeros(0, dtype=np.int64)
-        return pa.table({"a": np.concatenate([empty, *out_a]), "b": np.concatenate([empty, *out_b])})
+        cuts = np.concatenate(([0], np.flatnonzero(np.diff(x["key"])) + 1))
+        mixed = np.minimum.reduceat(x["class"], cuts) != np.maximum.reduceat(x["class"], cuts)
+        live = np.repeat(mixed, np.diff(np.append(cuts, len(order))))
+        x = {k: v[live] for k, v in x.items()}
+        if not live.any():
+            return
+        lists = np.concatenate(([0], np.cumsum(np.diff(x["key"]) != 0)))
+        if not every:
+            partner = S.leaders(lists, x["size"], x["place"], x["owner"], num, den, x["class"])
+            at = np.flatnonzero(partner >= 0)
+            if len(at):
+                yield pairs(x["owner"][at], x["owner"][partner[at]])
+            return
+        for i, j in S.walk(lists, x["size"], x["place"], num, den, lambda i, j: x["class"][i] != x["class"][j], _minor(lists, x["class"])):
+            yield pairs(x["owner"][i], x["owner"][j])
 
     return labelled.groupBy("pid").applyInArrow(run, "a long, b long").distinct()
 
 
+def _minor(lists: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """Which entries are outside the largest class of their list."""
+    order = np.lexsort((classes, lists))
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (np.diff(lists[order]) != 0) | (np.diff(classes[order]) != 0)
+    at = np.flatnonzero(new)
+    n = np.diff(np.append(at, len(order)))
+    rank = np.lexsort((n, lists[order][at]))  # of each list the largest class comes last
+    last = np.append(np.diff(lists[order][at][rank]) != 0, True)
+    largest = np.zeros(len(at), dtype=bool)
+    largest[rank[last]] = True
+    out = np.empty(len(order), dtype=bool)
+    out[order] = ~np.repeat(largest, n)
+    return out
+
+
 def _difference(x: bytes, y: bytes) -> np.ndarray:
     """The symmetric difference of two sorted sets."""
     z = np.sort(np.concatenate([np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)]))

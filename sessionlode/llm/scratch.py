@@ -4,32 +4,38 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import os
-import tempfile
 import uuid
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
+from sessionlode.sources.tables import shared_dir
 
-BATCH_ROWS = 1000
+#: What is read from files, and sent to Python, at a time.
+SMALL = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "4m",
+    "spark.sql.parquet.columnarReaderBatchSize": "256",
+}
 
 
 @contextlib.contextmanager
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS):
-    """Jobs that run inside send texts to Python in batches of so many rows, for less memory; then the setting is as before."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+def small_batches(spark: SparkSession):
+    """Jobs that run inside read and send rows in small batches, for less memory, above all where texts are long; then the
+    settings are as before."""
+    before = {k: spark.conf.get(k) for k in SMALL}
+    for k, v in SMALL.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where that is unset, as in local tests, a temporary one."""
-    return spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "checkpoints")
+#: For a shared folder of the scheme file: without checksum files. Where Hadoop's native library is missing, it starts three
+#: processes for a file that has one, to set permissions. Other file systems do not look at this.
+PLAIN_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
 
 
 class Scratch:
@@ -42,6 +48,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.held: list[DataFrame] = []
+        self.names: list[str] = []
         self.root = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
         atexit.register(self.close)
 
@@ -54,16 +61,17 @@ class Scratch:
             df.unpersist()
         self.held.clear()
 
-    def table(self, df: DataFrame, name: str, wide: bool = False, ordered: bool = False) -> DataFrame:
-        """Writes and reads again. A narrow table gets no more files than the cluster has cores, a wide one twice as many.
-
-        An ordered one keeps its partitions, so that its files, by name, hold the rows in their order; reading it again as
-        one table does not keep to that order.
+    def table(self, df: DataFrame, name: str, wide: bool = False, packed: bool = False) -> DataFrame:
+        """Writes and reads again. A wide table keeps its partitions, so that the work that makes it keeps its tasks; a narrow one
+        gets no more files than the cluster has cores. Reading it again does not keep the order of rows. ``packed``: the table
+        is mostly blocks of packed numbers, for which neither compression nor a dictionary is worth its time.
         """
         path = f"{self.root}/{name}"
-        if not ordered:
-            df = df.coalesce(max(1, self.spark.sparkContext.defaultParallelism) * (2 if wide else 1))
-        df.write.parquet(path)
+        self.names.append(name)
+        if not wide:
+            df = df.coalesce(max(1, self.spark.sparkContext.defaultParallelism))
+        options = {"compression": "uncompressed", "parquet.enable.dictionary": "false"} if packed else {}
+        df.write.options(**PLAIN_FILES, **options).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str = "") -> None:
@@ -71,6 +79,12 @@ class Scratch:
         path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
+    def keep_only(self, *names: str) -> None:
+        """Drops all tables but these, once nothing that is still to be computed reads them."""
+        for name in set(self.names) - set(names):
+            self.drop(name)
+        self.names = list(names)
+
     def close(self) -> None:
         try:
             self.drop()

@@ -1,6 +1,6 @@
-"""Sketches of fixed size, filled on the executors and added up in a tree: a frequency sketch and a Bloom filter.
+"""Sketches of bounded size, filled on the executors and added up in a tree: a frequency sketch and a Bloom filter.
 
-Neither grows with the data. Both only steer work (the order of tokens, what is worth shipping); exact comparisons decide.
+Both only steer work (the order of tokens, what is worth shipping); exact comparisons and counts decide.
 """
 
 from __future__ import annotations
@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from sessionlode.llm.hashing import U64, mix
 
 SLOT_BITS = 20
-BLOOM_BITS = 25
+#: Bits of a Bloom filter: 16 for each key, within these bounds (128 KB and 32 MB). Beyond 16 million keys more and more
+#: misses pass as hits, which costs shipping and no result.
+BLOOM_BITS = (20, 28)
 FAN_IN = 16
 
 
@@ -57,15 +59,43 @@ def slot(tokens: np.ndarray) -> np.ndarray:
     return (tokens >> U64(64 - SLOT_BITS)).astype(np.int64)
 
 
+def exact_counts(df: DataFrame, tokens: Callable[[pa.RecordBatch], Iterator[np.ndarray]], over: np.ndarray, least: int, most: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """(tokens, counts) of all tokens that occur more than ``least`` times, of those whose slot is in ``over``; sorted by
+    token. None if there are more than ``most`` of them. A count by key, combined before the shuffle."""
+    shared = df.sparkSession.sparkContext.broadcast(over)
+
+    def run(batches):
+        for batch in batches:
+            for x in tokens(batch):
+                x, n = np.unique(x[shared.value[slot(x)]], return_counts=True)
+                if len(x):
+                    yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(n)], names=["token", "n"])
+
+    heavy = df.mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") > least)
+    found = heavy.limit(most + 1).toArrow()
+    if found.num_rows > most:
+        return None
+    at, n = found.column("token").to_numpy().view(np.uint64), found.column("n").to_numpy()
+    order = np.argsort(at)
+    return at[order], n[order]
+
+
 def frequencies(df: DataFrame, tokens: Callable[[pa.RecordBatch], Iterator[np.ndarray]]) -> np.ndarray:
     """How often tokens fall in each of 2**SLOT_BITS slots, over all rows: an upper bound of every token's frequency."""
     width = 1 << SLOT_BITS
 
     def run(batches):
         total = np.zeros(width, dtype=np.int64)
+        held, n = [], 0
         for batch in batches:
             for x in tokens(batch):
-                total += np.bincount(slot(x), minlength=width)
+                held.append(slot(x))
+                n += len(x)
+                if n >= width:  # counting takes a pass over all slots
+                    total += np.bincount(np.concatenate(held), minlength=width)
+                    held, n = [], 0
+        if held:
+            total += np.bincount(np.concatenate(held), minlength=width)
         if total.any():
             yield _one(total)
 
@@ -73,37 +103,38 @@ def frequencies(df: DataFrame, tokens: Callable[[pa.RecordBatch], Iterator[np.nd
 
 
 class Bloom:
-    """Three probes a key in 2**BLOOM_BITS bits (4 MB): a miss is certain, a hit is not."""
+    """Three probes a key in 2**bits bits: a miss is certain, a hit is not."""
 
-    def __init__(self, bits: np.ndarray):
-        self.bits = bits
+    def __init__(self, bits: int, packed: np.ndarray):
+        self.bits, self.packed = bits, packed
 
     @staticmethod
-    def _probes(keys: np.ndarray) -> Iterator[np.ndarray]:
+    def _probes(keys: np.ndarray, bits: int) -> Iterator[np.ndarray]:
         x = mix(keys)
         for k in range(3):
-            yield ((x >> U64(13 * k)) & U64((1 << BLOOM_BITS) - 1)).astype(np.int64)
+            yield ((x >> U64(13 * k)) & U64((1 << bits) - 1)).astype(np.int64)
 
     @classmethod
     def of(cls, df: DataFrame, keys: Callable[[pa.RecordBatch], np.ndarray]) -> Bloom:
-        width = 1 << (BLOOM_BITS - 3)
+        bits = min(max((16 * df.count()).bit_length(), BLOOM_BITS[0]), BLOOM_BITS[1])
+        width = 1 << (bits - 3)
 
         def run(batches):
-            bits = None
+            packed = None
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                if bits is None:
-                    bits = np.zeros(1 << BLOOM_BITS, dtype=bool)
-                for at in cls._probes(keys(batch)):
-                    bits[at] = True
-            if bits is not None:
-                yield _one(np.packbits(bits))
+                if packed is None:
+                    packed = np.zeros(width, dtype=np.uint8)
+                for at in cls._probes(keys(batch), bits):
+                    np.bitwise_or.at(packed, at >> 3, (128 >> (at & 7)).astype(np.uint8))
+            if packed is not None:
+                yield _one(packed)
 
-        return cls(tree_total(df.mapInArrow(run, "part binary"), "uint8", width, np.bitwise_or))
+        return cls(bits, tree_total(df.mapInArrow(run, "part binary"), "uint8", width, np.bitwise_or))
 
     def hits(self, keys: np.ndarray) -> np.ndarray:
         out = np.ones(len(keys), dtype=bool)
-        for at in self._probes(keys):
-            out &= (self.bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+        for at in self._probes(keys, self.bits):
+            out &= (self.packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
         return out
