@@ -18,8 +18,8 @@ SHINGLE, NUM, DEN = 5, 8, 10
 
 
 def _counted(docs: DataFrame) -> DataFrame:
-    """n_chars follows the text."""
-    return docs.withColumn("n_chars", F.length("text").cast("long"))
+    """n_chars, if the table has it, follows the text."""
+    return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +33,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the least doc_id stays; documents without a doc_id all stay."""
+    """Of each group of linked documents the one with the least doc_id stays; documents without a doc_id all stay, and of rows
+    that repeat a doc_id all or none."""
     linked = ngram_join.link(docs, width=SHINGLE, num=NUM, den=DEN)
     return docs.join(linked.where("component_id <> doc_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
 
@@ -49,7 +50,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     columns = ["n_tokens", "ids_sha256", "decoded_sha256"]
     coded = bpe.round_trip(docs.select("doc_id", "source", "text", mixing.tied(docs).alias("tie")), tokenizer_path())
-    coded = Scratch(spark, "tokens").table(coded, "coded")  # read more than once
+    coded = Scratch(spark, "tokens").table(coded, "coded", wide=True)  # read more than once
     return mixing.schedule(coded, tie="tie").orderBy("mix_position").select("mix_position", "doc_id", *columns)
 
 
@@ -70,5 +71,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = scratch.table(docs, f"stage-{k}", wide=True, ordered=stage is mixed)
+            docs = scratch.table(docs, f"stage-{k}", wide=True)
+            scratch.keep_only(f"stage-{k}")
     return docs
