@@ -92,12 +92,13 @@ def fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def strength(groups: DataFrame, mean: Column, n: str = "n", s: str = "s") -> Column:
-    """Aggregate: pseudo-counts of the prior, by the method of moments, for groups with n and sum s around their mean."""
+    """Aggregate: pseudo-counts of the prior, by the method of moments, for groups with n and sum s around their mean. A single
+    group, or groups that differ no more than their documents do, shrink all the way."""
     m = F.col(s) / F.col(n)
-    total, squares = F.sum(n), F.sum(F.col(n) * F.col(n))
-    within = F.sum(F.col(n) * mean * (1 - mean)) / total
-    between = (F.sum(F.col(n) * (m - mean) * (m - mean)) - (F.count("*") - 1) * within) / (total - squares / total)
-    k = within / between - 1
+    total, squares = F.sum(n).cast("double"), F.sum(F.col(n) * F.col(n)).cast("double")
+    within = F.try_divide(F.sum(F.col(n) * mean * (1 - mean)), total)
+    between = F.try_divide(F.sum(F.col(n) * (m - mean) * (m - mean)) - (F.count("*") - 1) * within, total - F.try_divide(squares, total))
+    k = F.try_divide(within, between) - 1
     return F.coalesce(F.when(between > 0, F.greatest(F.lit(LEAST_STRENGTH), F.least(k, F.lit(MOST_STRENGTH)))), F.lit(MOST_STRENGTH))
 
 
