@@ -120,7 +120,7 @@ def rank_postings(table: DataFrame, phrases: list[list[str]], n: int, mean: floa
     """
     columns = [c for c in table.columns if c not in ("term", "id", "positions", "length")]
     tables = {tuple(p): _phrase_hits(table, p, f"tf{k}") for k, p in reversed(list(enumerate(phrases))) if p}
-    if not n or not tables or (every and any(not p for p in phrases)):
+    if not n or not mean or not tables or (every and any(not p for p in phrases)):
         return table.select("id", *columns, F.lit(0.0).alias("score")).limit(0)
     hits, names = None, {}
     for key, found in tables.items():

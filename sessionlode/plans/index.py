@@ -332,13 +332,14 @@ class Index:
         anew for all of them, or drops it; without it, it stays as it is."""
         seg = self._new_segment()
         lexical = self.has_lexical() if lexical is None else lexical
-        sessions, state, vectors = self.sessions(), self._state().drop("seg"), self.vectors()
+        sessions, state, vectors = self.sessions(), self.state(), self.vectors()
         chunks = self._write_chunks(seg, self.chunks())
         self._write_postings(seg, chunks, lexical)
         vectors.withColumn("home", F.lit(seg)).select(*schemas.VECTOR.fieldNames()).write.parquet(f"{self.path}/vectors/seg={seg}")
         sessions.write.parquet(f"{self.path}/sessions/seg={seg}")
-        state.write.parquet(f"{self.path}/state/seg={seg}")
-        self._commit(segments=[seg], vectors=[seg], dead=[], lexical=[seg] if lexical else [])
+        self._write_state(seg, state, sessions)
+        sums = self._sums(self._table("state", schemas.STATE, [seg]))
+        self._commit(segments=[seg], vectors=[seg], dead=[], lexical=[seg] if lexical else [], chunks=sums["chunks"], terms={x: sums[x] for x in POSTINGS})
 
     def vacuum(self, older_than_s: float = 86_400.0) -> None:
         """Deletes segments that the manifest does not name and that are older than any running job can be."""
