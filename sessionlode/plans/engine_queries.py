@@ -82,6 +82,11 @@ def mixed_history(conversations: DataFrame) -> History:
 _built: dict[tuple, tuple] = {}
 
 
+def history(spark: SparkSession, sf_dir: str) -> History:
+    """The history alone, for what reads no index."""
+    return mixed_history(table(spark, sf_dir, "conversations"))
+
+
 def new_index(spark: SparkSession, model: str = LetterCounts.model) -> Index:
     return Index.open(spark, f"{shared_dir(spark).rstrip('/')}/index-{uuid.uuid4().hex}", LetterCounts.dim, model)
 
@@ -96,6 +101,13 @@ def built(spark: SparkSession, sf_dir: str) -> tuple[History, Index, Stats, Stat
     return _built[key]
 
 
+def _tool_part(h: History) -> str:
+    """The id of a tool part: the first of SESSION, or else the least of all; empty if there is none."""
+    tools = lambda parts: parts.where(P.type_of(P.parse(F.col("data"))) == "tool")
+    own = tools(h.part.where(F.col("session_id") == SESSION)).orderBy("ord", "id").limit(1).collect()
+    return own[0]["id"] if own else tools(h.part).agg(F.min("id")).first()[0] or ""
+
+
 def rows(spark: SparkSession, data: list, schema: str) -> DataFrame:
     return spark.createDataFrame(data, schema)
 
@@ -430,14 +442,14 @@ WITH {_PARTS} SELECT 'session' AS what, 'conversation {SESSION}' AS value UNION
 UNION ALL SELECT 'messages', array_to_string(list(role ORDER BY turn), ',') FROM c WHERE session_id = '{SESSION}' UNION ALL SELECT 'missing', 'session no such session not found'""")
 def history_lookups(spark, sf):
     """Single reads of the history: a session, a part, projects, a model, messages, and what is missing."""
-    h = built(spark, sf)[0]
+    h = history(spark, sf)
     try:
         missing = str(h.get_session("no such session"))
     except LookupError as error:
         missing = str(error)
     model = h.session.where(F.col("id") == SESSION).select(P.model(F.col("model")).alias("m")).first()["m"]
     data = [
-        ("session", h.get_session(SESSION)["title"]), ("part", h.find_part(f"p:{SESSION}:1:1")["type"]), ("projects", ",".join(r["worktree"] for r in h.projects().orderBy("id").collect())),
+        ("session", h.get_session(SESSION)["title"]), ("part", h.find_part(_tool_part(h))["type"]), ("projects", ",".join(r["worktree"] for r in h.projects().orderBy("id").collect())),
         ("model", ",".join(model)), ("messages", ",".join(r["role"] for r in h.messages(SESSION).collect())), ("missing", missing),
     ]
     return rows(spark, data, "what string, value string")
