@@ -418,7 +418,7 @@ SELECT 5 + row_number() OVER (ORDER BY t DESC, session_id), '  ' || left(session
   || rpad(CASE WHEN conv_id % 2 = 0 THEN 'build' ELSE '' END, 14, ' ') || '  ' || project_path || '  [' || t || ']' FROM l""")
 def cli_sessions(spark, sf):
     """The listing of sessions, line by line."""
-    return rows(spark, list(enumerate(cli.summary_lines(built(spark, sf)[0]))), "n int, line string")
+    return rows(spark, list(enumerate(cli.summary_lines(history(spark, sf)))), "n int, line string")
 
 
 @query(f"""

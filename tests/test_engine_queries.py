@@ -27,3 +27,12 @@ def check(spark, sf, name):
 
 def test_lookups_find_a_tool_part_in_any_turn(spark, sf):
     check(spark, sf, "history_lookups")
+
+
+@pytest.mark.parametrize("name", ["cli_sessions"])
+def test_listings_and_reads_build_no_index(spark, sf, monkeypatch, name):
+    def refuse(*_):
+        raise AssertionError("an index was built")
+
+    monkeypatch.setattr(engine_queries, "built", refuse)
+    check(spark, sf, name)
