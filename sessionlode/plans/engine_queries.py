@@ -434,7 +434,7 @@ UNION ALL SELECT 5, 'time:      ' || a || ' .. ' || b FROM s UNION ALL SELECT 6,
 UNION ALL SELECT 9 + position, line FROM d UNION ALL SELECT 21, '... ' || (n - 12) || ' more parts' FROM s WHERE n > 12""")
 def cli_session(spark, sf):
     """The listing of one session: a line a part, of any type."""
-    return rows(spark, list(enumerate(cli.session_lines(built(spark, sf)[0], SESSION, 12))), "n int, line string")
+    return rows(spark, list(enumerate(cli.session_lines(history(spark, sf), SESSION, 12))), "n int, line string")
 
 
 @query(f"""
