@@ -371,13 +371,13 @@ def _shown(spark: SparkSession, answer: str) -> DataFrame:
 @query(f"WITH {_PARTS}, w AS (SELECT * FROM parts WHERE session_id = '{SESSION}' AND k <> 6 AND position BETWEEN {POSITION - 3} AND {POSITION + 2}) {_SHOWN}")
 def tool_read(spark, sf):
     """A window around a position, as the tool answers; arguments come as text and numbers."""
-    return _shown(spark, _tools(spark, sf).call("memory_read", {"session_id": int(SESSION), "position": str(POSITION), "before": 3.0, "after": 2}))
+    return _shown(spark, Tools(history(spark, sf)).call("memory_read", {"session_id": int(SESSION), "position": str(POSITION), "before": 3.0, "after": 2}))
 
 
 @query(f"WITH {_PARTS}, a AS (SELECT position AS p FROM parts WHERE id = 'p:{SESSION}:1:0'), w AS (SELECT parts.* FROM parts, a WHERE session_id = '{SESSION}' AND k <> 6 AND position BETWEEN p - 2 AND p + 10) {_SHOWN}")
 def tool_context(spark, sf):
     """A window around a part, found by its id."""
-    return _shown(spark, _tools(spark, sf).call("memory_context", {"part_id": f"p:{SESSION}:1:0", "before": 2}))
+    return _shown(spark, Tools(history(spark, sf)).call("memory_context", {"part_id": f"p:{SESSION}:1:0", "before": 2}))
 
 
 @query(f"""
@@ -386,7 +386,7 @@ SELECT 'conversation {SESSION}' AS title, '' AS agent, 'p1' AS project_id, '/bet
   role, time_created, array_to_string(kinds, ',') AS part_types FROM m""")
 def tool_session(spark, sf):
     """The map of a session."""
-    a = json.loads(_tools(spark, sf).call("memory_session", {"session_id": SESSION}))
+    a = json.loads(Tools(history(spark, sf)).call("memory_session", {"session_id": SESSION}))
     data = [(a["title"], a["agent"], a["project_id"], a["project_path"], a["compacted"], m["role"], m["time_created"], ",".join(m["part_types"])) for m in a["messages"]]
     return rows(spark, data, "title string, agent string, project_id string, project_path string, compacted boolean, role string, time_created long, part_types string")
 

@@ -29,7 +29,7 @@ def test_lookups_find_a_tool_part_in_any_turn(spark, sf):
     check(spark, sf, "history_lookups")
 
 
-@pytest.mark.parametrize("name", ["cli_sessions", "cli_session"])
+@pytest.mark.parametrize("name", ["cli_sessions", "cli_session", "tool_read", "tool_context", "tool_session"])
 def test_listings_and_reads_build_no_index(spark, sf, monkeypatch, name):
     def refuse(*_):
         raise AssertionError("an index was built")
