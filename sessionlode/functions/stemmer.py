@@ -56,8 +56,10 @@ def stem(word: Column) -> Column:
 
 
 def stem_text(tokens: Column) -> Column:
-    """Stems of an array of words, joined by one space."""
-    return F.array_join(F.transform(tokens, stem), " ")
+    """Stems of an array of words, joined by one space. Words are only looked at where the text has Russian vowels."""
+    text = lambda x: F.array_join(x, " ")
+    # A lambda over a one-element array stands for a local name, so that the tokens are made once.
+    return F.get(F.transform(F.array(tokens), lambda x: F.when(text(x).rlike(f"[ё{VOWELS}]"), text(F.transform(x, stem))).otherwise(text(x))), 0)
 
 
 def stem_word(word: str) -> str:

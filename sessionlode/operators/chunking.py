@@ -28,34 +28,36 @@ def chunkify(parts: DataFrame, messages: DataFrame, sessions: DataFrame) -> Data
     keep the gaps that parts without a chunk leave.
     """
     data, kind = F.col("payload"), F.col("type")
-    rows = parts.where(kind.isin(*INDEXED_TYPES)).where(P.valid(data, kind))
     command, raw = T.clean(P.field(data, "command")), T.clean(P.field(data, "output"))
-    rows = rows.select(
-        "id", "session_id", "message_id", "position", "time_created", "time_updated", kind.alias("part_type"),
+    fields = F.struct(
+        (kind.isin(*INDEXED_TYPES) & P.valid(data, kind)).alias("ok"),
         F.when(kind == "tool", P.field(data, "tool")).otherwise("").alias("tool"),
         F.when(kind == "tool", command).otherwise("").alias("command"),
         F.when(kind == "tool", raw).otherwise("").alias("output"),
         F.when(kind.isin("text", "reasoning"), T.trim_space(P.field(data, "text"))).alias("said"),
         F.when(kind == "patch", P.files(data)).alias("files"),
     )
+    # Generators of one row: filters stay above them, so that each payload is parsed, and each content made, once.
+    rows = parts.select("id", "session_id", "message_id", "position", "time_created", "time_updated", kind.alias("part_type"), F.inline(F.array(fields))).where("ok")
     content = (
         F.when(F.col("part_type") == "tool", T.clean(tool_content(F.col("tool"), F.col("command"), T.head(F.col("output"), T.TOOL_OUTPUT_CHARS))))
         .when(F.col("part_type") == "patch", F.array_join("files", "\n"))
         .otherwise(F.col("said"))
     )
-    rows = rows.withColumn("content", content)
+    made = F.struct(content.alias("content"), (F.length("output") > T.TOOL_OUTPUT_CHARS).alias("truncated"))
+    rows = rows.select("id", "session_id", "message_id", "position", "time_created", "time_updated", "part_type", "tool", "command", "files", F.inline(F.array(made)))
     rows = rows.where(F.when(F.col("part_type") == "patch", F.size("files") > 0).otherwise(F.col("content") != ""))
+    roles = messages.select(F.col("id").alias("message_id"), F.col("role").alias("msg_role"))
+    where = sessions.select(F.col("id").alias("session_id"), "project_id", "project_path")
+    rows = rows.join(roles, "message_id", "left").join(where, "session_id", "left").withColumn("msg_role", F.coalesce("msg_role", F.lit("")))
+    # After the joins, so that the content is shuffled once and not with what derives from it.
     shown = F.when(F.col("part_type") == "patch", F.concat(F.lit("patch: "), T.snippet(F.array_join("files", ", ")))).otherwise(T.snippet(F.col("content")))
     rows = rows.withColumns({
         "snippet": shown,
-        "truncated": F.length("output") > T.TOOL_OUTPUT_CHARS,
         "embed_text": embed_text(F.col("content"), F.col("part_type")),
         "stemmed": stem_text(T.words(F.col("content"))),
         "embedded": F.lit(False),
     })
-    roles = messages.select(F.col("id").alias("message_id"), F.col("role").alias("msg_role"))
-    where = sessions.select(F.col("id").alias("session_id"), "project_id", "project_path")
-    rows = rows.join(roles, "message_id", "left").join(where, "session_id", "left").withColumn("msg_role", F.coalesce("msg_role", F.lit("")))
     return rows.select(*[F.col(f.name).cast(f.dataType) for f in CHUNK.fields])
 
 

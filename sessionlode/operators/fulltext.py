@@ -6,8 +6,11 @@ phrases count repeatedly, occurrences may overlap. Collection statistics cover t
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -89,9 +92,34 @@ def postings(chunks: DataFrame, text: str, terms: Callable[[Column], Column] = T
     return rows.select("p.term", "id", *keep, "p.positions")
 
 
-def by_term(table: DataFrame, *first: str) -> DataFrame:
-    """Laid out for reading by term: a query reads few row groups, and a term of many chunks spans several files."""
-    return table.repartitionByRange(*first, "term", "id").sortWithinPartitions(*first, "term", "id")
+def _listed(batch: pa.RecordBatch, tokens: str) -> pa.RecordBatch:
+    """The postings of a batch of texts: one sort of (text, term) for all of them."""
+    lists, keep = batch.column(tokens), [c for c in batch.schema.names if c != tokens]
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = lists.flatten().dictionary_encode()
+    code = flat.indices.to_numpy().astype(np.int64)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    key = row * max(len(flat.dictionary), 1) + code
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    place = (np.arange(len(row)) - (np.cumsum(sizes) - sizes)[row])[order].astype(np.int32)
+    held, at = pa.array(row[order[first]]), pa.array(code[order[first]])
+    lengths = pa.array(sizes.astype(np.int32)).take(held)
+    positions = pa.ListArray.from_arrays(pa.array(np.append(first, len(key)).astype(np.int32)), pa.array(place))
+    return pa.RecordBatch.from_arrays([flat.dictionary.take(at), *[batch.column(c).take(held) for c in keep], lengths, positions], ["term", *keep, "length", "positions"])
+
+
+def listed(chunks: DataFrame, tokens: str, batch: int = 512) -> DataFrame:
+    """As ``postings`` for a column of tokens, with their number (length); slices of ``batch`` texts are grouped at once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for start in range(0, b.num_rows, batch):
+                yield _listed(b.slice(start, batch), tokens)
+
+    keep = [f"`{f.name}` {f.dataType.simpleString()}" for f in chunks.schema.fields if f.name != tokens]
+    return chunks.mapInArrow(run, ", ".join(["term string", *keep, "length int", "positions array<int>"]))
 
 
 def _phrase_hits(table: DataFrame, phrase: list[str], name: str) -> DataFrame:

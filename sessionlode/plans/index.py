@@ -5,7 +5,7 @@ segment whose session was indexed anew are dead: the newer segment lists them, a
 cost of a run follows what changed, readers never see half a run, and a run that dies leaves nothing behind but files that no
 manifest names; the next run is not in their way, nor they in its.
 
-A segment holds chunks, sessions, state, postings (of all sources, sorted by source and term) and vectors; a backfill adds a
+A segment holds chunks, sessions, state, postings (of all sources, each file of one of them and sorted by term) and vectors; a backfill adds a
 segment of vectors only. The manifest holds what a search needs of the whole: the number of live chunks and of their terms.
 """
 
@@ -250,8 +250,8 @@ class Index:
                 error = f"embedding failed: {str(failure).splitlines()[0][:200]}"
         step("sessions")
         counts = chunks.groupBy("session_id").agg(F.count("*").alias("chunks_count"))
-        totals = placed.groupBy("session_id").agg(F.count("*").alias("parts_count"))
-        meta = todo.withColumn("session_id", F.col("id")).join(totals, "session_id", "left").join(counts, "session_id", "left").join(parts.compaction(placed), "session_id", "left")
+        totals = placed.groupBy("session_id").agg(F.count("*").alias("parts_count"), *parts.marks())
+        meta = todo.withColumn("session_id", F.col("id")).join(totals, "session_id", "left").join(counts, "session_id", "left")
         meta = meta.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("parts_count", "chunks_count")} | {"compacted": F.coalesce("compacted", F.lit(False)), "tail_start_id": F.coalesce("tail_start_id", F.lit("")), "agent": F.coalesce("agent", F.lit(""))})
         meta.select(*[F.col(f.name).cast(f.dataType) for f in schemas.SESSION_META.fields]).write.parquet(f"{self.path}/sessions/seg={seg}")
         written = self.spark.read.schema(schemas.ddl(schemas.SESSION_META)).parquet(f"{self.path}/sessions/seg={seg}")
@@ -287,12 +287,13 @@ class Index:
         return self.spark.read.schema(schemas.ddl(schemas.CHUNK)).parquet(f"{self.path}/chunks/seg={seg}")
 
     def _write_postings(self, seg: str, chunks: DataFrame, lexical: bool) -> None:
-        """All sources in one pass over the chunks and one shuffle of their postings."""
-        sources = [F.struct(F.lit(x).alias("source"), ANALYZERS[x](F.col(c)).alias("tokens")) for x, c in POSTINGS.items() if lexical or x not in LEXICAL]
+        """Files of one source each, in the order of terms, from one pass over the chunks a source. Nothing is shuffled: a
+        query reads few row groups of each file."""
         keep = ["id", "session_id", "project_path", "part_type", "time_created", "position"]
-        rows = chunks.select(*keep, F.explode(F.array(*sources)).alias("s")).select(F.col("s.source").alias("source"), *keep, F.col("s.tokens").alias("tokens"))
-        rows = fulltext.postings(rows.withColumn("length", F.size("tokens")), "tokens", lambda c: c, ("source", *keep[1:], "length"))
-        fulltext.by_term(rows.select(*schemas.POSTING.fieldNames()), "source").write.parquet(f"{self.path}/postings/seg={seg}")
+        for x, c in POSTINGS.items():
+            if lexical or x not in LEXICAL:
+                rows = fulltext.listed(chunks.select(*keep, ANALYZERS[x](F.col(c)).alias("tokens")), "tokens").withColumn("source", F.lit(x))
+                rows.select(*schemas.POSTING.fieldNames()).sortWithinPartitions("term").write.mode("append").parquet(f"{self.path}/postings/seg={seg}")
 
     def _write_state(self, seg: str, state: DataFrame, sessions: DataFrame) -> None:
         """State with what each session adds to the totals."""

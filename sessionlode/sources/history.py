@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Row, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sessionlode.schemas import NO_PROJECT
@@ -76,9 +76,17 @@ class History:
     def compaction(self, parts: DataFrame | None = None) -> DataFrame:
         """(session_id, compacted, tail_start_id): whether a session has a valid compaction part, and the last tail named."""
         parts = self.parts() if parts is None else parts
-        marks = parts.where((F.col("type") == "compaction") & P.valid(F.col("payload"), F.col("type")))
-        tail = P.field(F.col("payload"), "tail_start_id")
-        return marks.groupBy("session_id").agg(F.lit(True).alias("compacted"), F.coalesce(F.max_by(F.when(tail != "", tail), F.when(tail != "", F.col("position"))), F.lit("")).alias("tail_start_id"))
+        return parts.groupBy("session_id").agg(*self.marks()).where("compacted")
+
+    @staticmethod
+    def marks() -> list[Column]:
+        """The same as aggregates over a session's parts; not compacted and no tail where there is no such part."""
+        kind, tail = F.col("type"), P.field(F.col("payload"), "tail_start_id")
+        # Letters are only escaped as \\u, so other payloads need not be looked into.
+        data = F.col("data")
+        mark = F.coalesce((data.contains("compaction") | data.contains("\\u")) & (kind == "compaction") & P.valid(F.col("payload"), kind), F.lit(False))
+        named = mark & (tail != "")
+        return [F.bool_or(mark).alias("compacted"), F.coalesce(F.max_by(F.when(named, tail), F.when(named, F.col("position"))), F.lit("")).alias("tail_start_id")]
 
     def located(self, sessions: DataFrame) -> DataFrame:
         """Sessions with project_path; those without a project get the default."""
