@@ -213,17 +213,24 @@ def _early(conversations: DataFrame) -> DataFrame:
     return conversations.join(last, "conv_id").where((F.col("conv_id") % 3 != 2) & ((F.col("conv_id") % 3 != 1) | (F.col("turn") < F.col("last")))).drop("last")
 
 
-def upkept(spark: SparkSession, sf: str) -> tuple[DataFrame, Index, Stats]:
-    """(sessions that needed a second run, the index after it, its counters)."""
-    key = (spark.sparkContext.applicationId, sf, "upkept")
+def outdated(spark: SparkSession, sf: str) -> tuple[Index, History, DataFrame]:
+    """(the index of the early conversations, the history of all, its sessions that need a run, as the index is now)."""
+    key = (spark.sparkContext.applicationId, sf, "outdated")
     if key not in _built:
         conversations, index = table(spark, sf, "conversations"), new_index(spark)
         index.run(mixed_history(_early(conversations)), embedder=LetterCounts())
         h = mixed_history(conversations)
-        ids = [r["id"] for r in index.needs_indexing(h.session).select("id").collect()]
-        _built[key] = ids, index, index.run(h)
-    ids, index, stats = _built[key]
-    return rows(spark, [(i,) for i in ids], "session_id string"), index, stats
+        _built[key] = index, h, index.needs_indexing(h.session).select(F.col("id").alias("session_id"))
+    return _built[key]
+
+
+def upkept(spark: SparkSession, sf: str) -> tuple[Index, Stats]:
+    """The index after a second run, without an embedder, and its counters."""
+    key = (spark.sparkContext.applicationId, sf, "upkept")
+    if key not in _built:
+        index, h, _ = outdated(spark, sf)
+        _built[key] = index, index.run(h)
+    return _built[key]
 
 
 @query("""
@@ -231,13 +238,13 @@ WITH t AS (SELECT conv_id, max(turn) AS last, count(*) AS n FROM conversations G
 SELECT conv_id::VARCHAR AS session_id FROM t WHERE conv_id % 3 = 2 OR conv_id % 3 = 1""")
 def index_needs(spark, sf):
     """Sessions without a state, and those updated since."""
-    return upkept(spark, sf)[0]
+    return outdated(spark, sf)[2]
 
 
 @query(f"WITH {_CHUNKS} SELECT session_id, count(*) AS n, count(DISTINCT id) AS ids, max(position) AS last, sum(length(content))::BIGINT AS chars FROM chunks GROUP BY session_id")
 def index_replaced(spark, sf):
     """After the second run each session has its new rows, once."""
-    return upkept(spark, sf)[1].chunks().groupBy("session_id").agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"), F.max("position").alias("last"), F.sum(F.length("content")).alias("chars"))
+    return upkept(spark, sf)[0].chunks().groupBy("session_id").agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"), F.max("position").alias("last"), F.sum(F.length("content")).alias("chars"))
 
 
 @query(f"""
@@ -247,7 +254,7 @@ k AS (SELECT count(*) AS live, count(*) FILTER (conv_id % 3 <> 0) AS fresh, coun
 SELECT todo AS indexed, all_sessions - todo AS skipped, fresh AS chunks, live, vectors, pending, terms FROM n, k""")
 def index_upkeep(spark, sf):
     """Counters of the second run, which had no embedder; live rows, vectors and pending ones; and the manifest's totals."""
-    _, index, s = upkept(spark, sf)
+    index, s = upkept(spark, sf)
     n, mean = index.stats("fts_unicode")
     status = index.status()
     return rows(spark, [(s.indexed, s.skipped, s.chunks, n, status["vectors"], status["pending_vectors"], round(n * mean))], "indexed long, skipped long, chunks long, live long, vectors long, pending long, terms long")
